@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import bpe, line_dedup, mixing, simhash
 
 QUERIES = {
     "op2_bpe": bpe.query,
+    "op4_simhash": simhash.query,
     "op9_mix": mixing.query,
+    "op10_lines": line_dedup.query,
 }
 
 SQL = {
     "op9_mix": mixing.SQL,
+    "op10_lines": line_dedup.SQL,
 }
