@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, simhash
+from . import bpe, line_dedup, mixing, pii, secrets, simhash, topk, url_filter
 
 QUERIES = {
     "op2_bpe": bpe.query,
+    "op3_topk": topk.query,
     "op4_simhash": simhash.query,
+    "op5_pii": pii.query,
+    "op6_url": url_filter.query,
+    "op8_secrets": secrets.query,
     "op9_mix": mixing.query,
     "op10_lines": line_dedup.query,
 }
 
 SQL = {
+    "op3_topk": topk.SQL,
+    "op6_url": url_filter.SQL,
     "op9_mix": mixing.SQL,
     "op10_lines": line_dedup.SQL,
 }
