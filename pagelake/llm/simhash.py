@@ -23,7 +23,8 @@ from .shared import written
 
 SEED = 42
 LIMIT = 2
-GROUP = 50_000
+GROUP = 8_192
+FRONTIER = 1 << 19
 LEAF, FAN = 16, 8
 FULL = (1 << 64) - 1
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -160,8 +161,9 @@ class GrayIndex:
         for k, (_, _, _, e) in enumerate(self.levels):
             self.last.append(e - 1 if k == 0 else self.last[k - 1][e - 1])
 
-    def pairs(self, limit: int = LIMIT, block: int = 2048):
-        """Yields (i, j), i < j, of all pairs within ``limit`` bits."""
+    def pairs(self, limit: int = LIMIT):
+        """Yields (i, j), i < j, of all pairs within ``limit`` bits; a block of queries fills at most FRONTIER places."""
+        block = max(1, FRONTIER // len(self.fps))
         for a in range(0, len(self.fps), block):
             q = np.arange(a, min(a + block, len(self.fps)))
             top = len(self.levels) - 1
