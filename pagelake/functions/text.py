@@ -6,21 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STOP_WORDS = {
-    "en": """world without with will which while where when what were was water under through this think thing they these
+    "en": """world without with will which while where when what was water under through this think thing they these
     there their them the that than such still some should people place over out our one not into her has have had great
     for first every during could can but between before because been are and all after about your you would""",
-    "fr": """être vous voir vers très tout tous toujours temps sur son ses sans quelque quand premier pour plus petit
+    "fr": """être vous voir très tout tous toujours temps sur son ses sans quelque quand premier pour plus petit
     peut personne pendant parce nuit nous même monde mais leur jour jamais ils homme grand femme faites faire fait entre
     encore elle donc deux dans comme chose chez chaque cette bien avoir avec autre aussi alors ainsi""",
     "de": """über zur zum worden wird wir wie werden wenn viel und soll sind sie sich seine sein schon sagen oder
     noch nicht neue nach mit mir klein kann jetzt ist immer ihrer ihre haben hat groß ganz gegen für erste einen eine
     ein durch dieses dieser diese die des der den dem dass das dann bis bei aus auf auch anderer alle aber""",
     "es": """vida una también todos todo tiempo tener sus siempre ser que primero porque por poder país pero parte para
-    otro nunca mundo mujer muy más mismo lugar los las hombre hasta han hacer gran forma esto este estar esta eso esa era
+    otro nunca mundo mujer muy más mismo lugar los las hombre hasta han hacer gran forma este estar esta eso esa era
     entre entonces durante donde día después desde del cuando con como casa cada años ahora agua""",
 }
-_REMOVED = {"en": "were", "fr": "vers", "es": "esto"}
-STOP_WORDS = {k: sorted(set(v.split()) - {_REMOVED.get(k, "")}) for k, v in STOP_WORDS.items()}
+STOP_WORDS = {k: sorted(v.split()) for k, v in STOP_WORDS.items()}
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
