@@ -24,12 +24,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .shared import text_batches
+
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^%s\p{L}\p{N}]+" % _SPACE)
 _CHUNKS = regex.compile("[^%s]+" % _SPACE)
 _ODD = regex.compile("[\x1c-\x1f]")  # str.split takes these for white space, the tokenizer doesn't
 SHORT = 64
-CACHE = 250_000
+CACHE = 120_000
 _NONE = 1 << 30
 
 
@@ -300,6 +302,7 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False) -> DataFr
     table gives an empty result; columns other than doc_id and text are ignored. Map-only.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     with open(path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     wanted = (
@@ -328,6 +331,7 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False) -> DataFr
 def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id and text (tokens joined as the tokenizer's decode does) from doc_id and ids; null ids give empty text."""
     spark = tokens.sparkSession
+    text_batches(spark)
     with open(path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .shared import written
+from .shared import text_batches, written
 
 MIN_WORDS = 50
 SEED = 42
@@ -76,6 +76,7 @@ def windows(first: np.ndarray, count: np.ndarray, a: np.ndarray, b: np.ndarray,
 
 def _windows_of(docs: DataFrame, least: int) -> DataFrame:
     """(print, content, doc_id, mark, s, e): every window; s and e count lines within the text."""
+    text_batches(docs.sparkSession)
     names = ["print", "content", "doc_id", "mark", "s", "e"]
 
     def run(batches):

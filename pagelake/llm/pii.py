@@ -13,6 +13,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import text_batches
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 THRESHOLD = 0.5
@@ -131,6 +133,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
+    text_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             rows = [[s._asdict() for s in find(t.as_py())] for t in b.column(1)]
@@ -144,6 +148,8 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans; see :func:`personal_data` for odd input."""
     names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
 
+    text_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             rows = []

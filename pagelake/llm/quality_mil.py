@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import text_batches
+
 PASSAGE = 64
 TRAIN_DOCS = 4_000
 TRAIN_PASSAGES = 256
@@ -201,6 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, docs_most: int = TRAIN_DOCS, passa
     passages each reach the driver, as features.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     by = usable.groupBy("doc_id").agg(F.avg("quality").alias("y")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")))
     y = {r["doc_id"]: float(r["y"] >= 0.5) for r in by.limit(docs_most).collect()}
@@ -237,6 +240,8 @@ def classify(docs: DataFrame, model: Model | None, carry: bool = False) -> DataF
     and are ignored otherwise. Map-only.
     """
 
+    text_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(text):
         import pandas as pd

@@ -15,6 +15,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import text_batches
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "entropy")
 WINDOW = 24
@@ -106,6 +108,8 @@ def secrets(docs: DataFrame) -> DataFrame:
     """
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
+    text_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             rows = [[dict(zip(("kind", "start", "end"), s)) for s in find(t.as_py())] for t in b.column(1)]
@@ -119,6 +123,8 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans; see :func:`secrets` for odd input."""
     names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
 
+    text_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             rows = []

@@ -47,6 +47,18 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a batch of whole texts that goes to Python: what a worker and its JVM hold at once.
+TEXT_ROWS = 500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold at most TEXT_ROWS rows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as BIGINT, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

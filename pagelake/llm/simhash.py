@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import text_batches, written
 
 SEED = 42
 LIMIT = 2
@@ -59,6 +59,8 @@ def fingerprint(text: str | None, shingle: int = 3, part: int = 1 << 17) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and ``fp`` (the fingerprint as a signed BIGINT) of every document; map-only."""
 
+    text_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
