@@ -60,7 +60,7 @@ def dom_path(el, depth: int = 4) -> str:
     return ">".join(reversed(parts))
 
 
-def link_candidates(doc: Document, base=None) -> list[dict]:
+def link_candidates(doc: Document, base=None, depth: int = 4) -> list[dict]:
     out = []
     for el in doc.select("a[href]"):
         href = el.attrs["href"].strip()
@@ -71,7 +71,7 @@ def link_candidates(doc: Document, base=None) -> list[dict]:
         url = url.text() if url is not None else href
         out.append(
             {
-                "pos": len(out), "url": url, "text": text, "path": dom_path(el), "href": href, "host": host(url),
+                "pos": len(out), "url": url, "text": text, "path": dom_path(el, depth), "href": href, "host": host(url),
                 "base_host": base.host if base is not None else None,
             }
         )

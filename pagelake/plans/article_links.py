@@ -16,14 +16,8 @@ def candidates(pages: DataFrame, key: str = "page_id", html: str = "html", base:
     """(key, pos, url, text, path, href, host, base_host), a row per usable link of each page."""
     from ..operators import links
 
-    read = lambda d, b: [
-        c | {"path": links.dom_path(n, depth)} if depth != 4 else c
-        for c, n in zip(
-            links.link_candidates(d, b),
-            [n for n in d.select("a[href]") if (h := n.attrs["href"].strip()) and not h.startswith(("#", "javascript:", "mailto:", "tel:"))],
-        )
-    ]
-    found = extract(pages.select(key, html, base), html=html, base=base, links=Feature(read, links.CANDIDATES))
+    read = Feature(lambda d, b: links.link_candidates(d, b, depth), links.CANDIDATES)
+    found = extract(pages.select(key, html, base), html=html, base=base, links=read)
     return found.select(key, F.inline("links"))
 
 
