@@ -48,12 +48,12 @@ def _byte_letters() -> list[str]:
 class PairTable:
     """(left, right) -> (rank, merged id) as an open-addressing table that numpy reads in bulk."""
 
-    def __init__(self, merges: list[tuple[int, int, int]], bits: int = 20):
+    def __init__(self, merges: list[tuple[int, int, int]], bits: int = 18):
         self.shift = np.uint64(64 - bits)
         n = 1 << bits
         self.keys = np.full(n, -1, np.int64)
-        self.rank = np.full(n, _NONE, np.int64)
-        self.merged = np.zeros(n, np.int64)
+        self.rank = np.full(n, _NONE, np.int32)
+        self.merged = np.zeros(n, np.int32)
         keys = np.array([a << 32 | b for a, b, _ in merges], np.int64)
         slots, todo, self.probes = self._slot(keys), np.arange(len(keys)), 0
         while len(todo):
@@ -88,18 +88,17 @@ class Bpe:
     def __init__(self, spec: str | dict):
         spec = json.loads(spec) if isinstance(spec, str) else spec
         model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
+        vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        merges = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
+        merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         self.pairs = PairTable(merges)
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-        self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
-        self.out = {i: t.encode() for i, t in self.tokens.items()}
+        self.out = {i: t.encode() for t, i in (vocab | self.added).items()}
         self.cut = regex.compile("(%s)" % "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         letters = _byte_letters()
-        self.plain = np.array([self.vocab.get(c, -1) for c in letters], np.int64)
-        self.last = np.array([self.vocab.get(c + self.end, -1) for c in letters], np.int64)
+        self.plain = np.array([vocab.get(c, -1) for c in letters], np.int64)
+        self.last = np.array([vocab.get(c + self.end, -1) for c in letters], np.int64)
         if min(self.plain.min(), self.last.min()) < 0:
             raise ValueError("the vocabulary lacks a byte")
         self.words: dict[str, tuple[bytes, bytes]] = {}
@@ -165,7 +164,7 @@ class Bpe:
             left, right = sym[rows, at], sym[rows, nxt[rows, at]]
             slot = self.pairs.find(left, right)
             ok = (slot >= 0) & (left >= 0) & (right >= 0)
-            return np.where(ok, self.pairs.rank[slot] * m + at, far)
+            return np.where(ok, self.pairs.rank[slot].astype(np.int64) * m + at, far)
 
         all_rows, all_at = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
         tree[:, m:] = leaf(all_rows, all_at).reshape(n, m)
@@ -277,10 +276,10 @@ class Bpe:
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, added ones included; unknown ids are left out."""
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+        return b" ".join([self.out[i] for i in ids if i in self.out]).decode()
 
 
-def _batches(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[list, list]]:
+def _batches(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list]]:
     """(ids, texts) of a batch in parts of about ``most`` characters."""
     ids, texts, part, size = batch.column(0).to_pylist(), batch.column(1), [], 0
     start = 0

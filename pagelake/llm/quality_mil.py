@@ -184,7 +184,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
-def _parts(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+def _parts(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[int, int, list[bytes]]]:
     part, size, start = [], 0, 0
     for k, t in enumerate(batch.column(1)):
         raw = (t.as_py() or "").encode()
@@ -251,7 +251,7 @@ def classify(docs: DataFrame, model: Model | None, carry: bool = False) -> DataF
             raw = (t or "").encode()
             part.append(raw)
             size += len(raw)
-            if size > 2 << 20:
+            if size > 1 << 19:
                 out.append(_score(part))
                 part, size = [], 0
         out.append(_score(part))
