@@ -13,7 +13,7 @@ from . import records
 from .config import ExtractorConfig, LimitRule
 from .crawl import matching_rule, schedule
 from .parse import extract, first_text, parse_pages, readable, selected_links, texts
-from .registry import cat, pages, query, sql_any, sql_words, table
+from .registry import cat, pages, query, spread, sql_any, sql_words, table
 
 _HOST = "lower(nullif(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), ''))"
 HOST = _HOST.format("url")
@@ -159,7 +159,7 @@ _SENTENCES = "greatest(len(regexp_extract_all(text, '[.!?。！？]')), 1)"
 @query(f"SELECT doc_id, CAST({_WORDS} AS BIGINT) AS words, CAST({_SENTENCES} AS BIGINT) AS sentences, len({_TOKENS}) >= 50 AS substantial FROM documents")
 def word_metrics(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", text.count_words(t).alias("words"), text.count_sentences(t).alias("sentences"), text.is_substantial(t).alias("substantial")
     )
 
@@ -177,7 +177,7 @@ SELECT doc_id, CAST(coalesce(syllables, 0) AS BIGINT) AS syllables,
 FROM d LEFT JOIN s USING (doc_id)"""
 )
 def flesch(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", text.measures(F.col("text")).alias("m"))
+    found = spread(table(spark, sf_dir, "documents")).select("doc_id", text.measures(F.col("text")).alias("m"))
     m = F.col("m")
     return found.select(
         "doc_id", m["syllables"].alias("syllables"), F.round(text.reading_ease(m), 6).alias("reading_ease"), F.round(text.grade(m), 6).alias("grade")
@@ -197,7 +197,7 @@ SELECT documents.doc_id, CASE WHEN greatest(en, fr, de, es) = 0 THEN NULL WHEN e
 FROM documents LEFT JOIN h USING (doc_id)"""
 )
 def detect_language(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.detect_language(F.col("text")).alias("language"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.detect_language(F.col("text")).alias("language"))
 
 
 @query(
