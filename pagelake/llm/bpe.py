@@ -13,6 +13,7 @@ chunk is encoded once per worker and found in a bounded cache afterwards.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import struct
@@ -31,7 +32,7 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^%s\p{L}\p{N}]+"
 _CHUNKS = regex.compile("[^%s]+" % _SPACE)
 _ODD = regex.compile("[\x1c-\x1f]")  # str.split takes these for white space, the tokenizer doesn't
 SHORT = 64
-CACHE = 120_000
+CACHE = 250_000
 _NONE = 1 << 30
 
 
@@ -94,23 +95,26 @@ class Bpe:
         merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         self.pairs = PairTable(merges)
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-        self.out = {i: t.encode() for t, i in (vocab | self.added).items()}
+        known = {i: t.encode() for t, i in (vocab | self.added).items()}
+        self.out = [known.get(i) for i in range(max(known) + 1)]
         self.cut = regex.compile("(%s)" % "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         letters = _byte_letters()
         self.plain = np.array([vocab.get(c, -1) for c in letters], np.int64)
         self.last = np.array([vocab.get(c + self.end, -1) for c in letters], np.int64)
         if min(self.plain.min(), self.last.min()) < 0:
             raise ValueError("the vocabulary lacks a byte")
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.chunks: dict[str | int, tuple[bytes, bytes]] = {}
+        self.words: dict[str, bytes] = {}  # ids as little-endian uint32
+        self.chunks: dict[str | int, bytes] = {}
 
     # -- merging -------------------------------------------------------------------------
 
-    def symbols(self, word: str) -> np.ndarray:
-        raw = np.frombuffer(word.encode(), np.uint8)
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all bytes of the words, one after another, and where each word starts (and the last ends)."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
         ids = self.plain[raw]
-        ids[-1] = self.last[raw[-1]]
-        return ids
+        ids[at[1:] - 1] = self.last[raw[at[1:] - 1]]
+        return ids, at
 
     def merge_one(self, ids: list[int]) -> list[int]:
         """One segment tree in plain Python: O(n log n)."""
@@ -202,49 +206,46 @@ class Bpe:
 
     def learn_words(self, words: list[str]) -> None:
         """Encode words that the cache lacks."""
-        by: dict[int, list[tuple[str, np.ndarray]]] = {}
-        for w in words:
-            ids = self.symbols(w)
-            if len(ids) > SHORT:
-                self._keep(w, self.merge_one(ids.tolist()))
-            else:
-                by.setdefault(1 << max(1, (max(len(ids), 1) - 1).bit_length()), []).append((w, ids))
-        for m, group in by.items():
-            for k in range(0, len(group), 8192):
-                some = group[k : k + 8192]
-                sym = np.full((len(some), m + 1), -1, np.int64)
-                sizes = np.fromiter((len(i) for _, i in some), np.int64, len(some))
-                sym[np.arange(m + 1) < sizes[:, None]] = np.concatenate([i for _, i in some])
+        if not words:
+            return
+        ids, at = self.symbols([w.encode() for w in words])
+        sizes = np.diff(at)
+        for k in np.flatnonzero(sizes > SHORT):
+            done = self.merge_one(ids[at[k] : at[k + 1]].tolist())
+            self.words[words[k]] = struct.pack(f"<{len(done)}I", *done)
+        low, m = 0, 2
+        while low < SHORT:
+            of = np.flatnonzero((sizes > low) & (sizes <= m))
+            for k in range(0, len(of), 8192):
+                some = of[k : k + 8192]
+                place = np.arange(m + 1)
+                inside = place < sizes[some, None]
+                sym = np.where(inside, ids[np.minimum(at[some, None] + place, len(ids) - 1)], -1)
                 done = self.merge_rows(sym, m)
-                flat, cut = done[done >= 0].tolist(), np.cumsum((done >= 0).sum(1)).tolist()
-                for (w, _), a, b in zip(some, [0, *cut], cut):
-                    self._keep(w, flat[a:b])
-
-    def _keep(self, word: str, ids: list[int]) -> None:
-        out = self.out
-        self.words[word] = struct.pack(f"<{len(ids)}I", *ids), b" ".join([out[i] for i in ids])
+                left = done >= 0
+                flat, cut = done[left].astype("<u4").tobytes(), (4 * np.cumsum(left.sum(1))).tolist()
+                self.words.update(zip([words[i] for i in some.tolist()], [flat[a:b] for a, b in zip([0, *cut], cut)]))
+            low, m = m, 2 * m
 
     # -- texts ---------------------------------------------------------------------------
 
-    def pieces(self, chunk: str) -> list[str]:
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        chunk = chunk.lower()
-        return [chunk] if chunk.isalpha() else _PIECES.findall(chunk)
-
     def learn_chunks(self, chunks: set[str]) -> None:
         """Encode chunks that the cache lacks."""
-        new = [(c, self.pieces(c)) for c in chunks]
         if len(self.words) > CACHE:
             self.words = {}
-        self.learn_words(list({p for _, ps in new for p in ps}.difference(self.words)))
-        words, kept = self.words, self.chunks
-        for c, ps in new:
-            if len(ps) == 1:
-                kept[c] = words[ps[0]]
+        whole, mixed = [], []
+        for c in chunks:
+            low = c.lower() if c.isascii() else unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()
+            if low.isalpha():
+                whole.append((c, low))
             else:
-                ids, out = zip(*[words[p] for p in ps])
-                kept[c] = b"".join(ids), b" ".join(out)
+                mixed.append((c, _PIECES.findall(low)))
+        need = {w for _, w in whole}
+        need.update(*(ps for _, ps in mixed))
+        self.learn_words(list(need.difference(self.words)))
+        find = self.words.__getitem__
+        self.chunks.update([(c, find(w)) for c, w in whole])
+        self.chunks.update([(c, b"".join(map(find, ps))) for c, ps in mixed])
 
     def split(self, text: str) -> list[str | int]:
         """White-space-separated chunks; ints are added tokens."""
@@ -255,28 +256,30 @@ class Bpe:
             return out
         return _CHUNKS.findall(text) if _ODD.search(text) else text.split()
 
-    def encode_texts(self, texts: list[str | None]) -> Iterator[tuple[int, bytes, bytes]]:
-        """(tokens, ids as little-endian uint32, decoded UTF-8) of each text, null as empty."""
+    def encode_texts(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian uint32, null as empty."""
         split = [self.split(t or "") for t in texts]
         if not self.chunks or len(self.chunks) > CACHE:
-            self.chunks = {i: (struct.pack("<I", i), self.out[i]) for i in self.added.values()}
+            self.chunks = {i: struct.pack("<I", i) for i in self.added.values()}
         seen: set = set()
         for s in split:
             seen.update(s)
         self.learn_chunks(seen.difference(self.chunks))
         find = self.chunks.__getitem__
         for s in split:
-            ids, out = zip(*map(find, s)) if s else ((), ())
-            ids = b"".join(ids)
-            yield len(ids) // 4, ids, b" ".join(out)
+            yield b"".join(map(find, s))
 
     def encode(self, text: str | None) -> list[int]:
-        ids = next(self.encode_texts([text]))[1]
-        return list(struct.unpack(f"<{len(ids) // 4}I", ids))
+        return np.frombuffer(next(self.encode_texts([text])), "<u4").tolist()
+
+    def decode_bytes(self, ids: bytes) -> bytes:
+        """UTF-8 of the tokens of known ids, joined by spaces."""
+        return b" ".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, added ones included; unknown ids are left out."""
-        return b" ".join([self.out[i] for i in ids if i in self.out]).decode()
+        known = [self.out[i] for i in ids if 0 <= i < len(self.out) and self.out[i] is not None]
+        return b" ".join(known).decode()
 
 
 def _batches(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list]]:
@@ -312,14 +315,23 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False) -> DataFr
 
     def run(batches):
         bpe = Bpe(spec.value)
+        gc.disable()  # nothing here makes cycles, and collections would scan the caches
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            gc.enable()
+
+    def encoded(bpe, batches):
         for batch in batches:
             for ids, texts in _batches(batch):
                 rows = bpe.encode_texts(texts)
                 if digest:
-                    done = [(n, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()) for n, i, d in rows]
+                    done = [
+                        (len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(bpe.decode_bytes(i)).hexdigest()) for i in rows
+                    ]
                     cols = list(zip(*done))
                 else:
-                    cols = [[np.frombuffer(i, "<u4").astype(np.int32) for _, i, _ in rows]]
+                    cols = [[np.frombuffer(i, "<u4").astype(np.int32) for i in rows]]
                 arrays = [pa.array(ids, pa.int64()), *(pa.array(c, t) for c, (_, t) in zip(cols, wanted))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(n for n, _ in wanted)])
 
