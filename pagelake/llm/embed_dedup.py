@@ -81,8 +81,10 @@ class Code:
                 n = np.searchsorted(down, a[k, i] - need, "right")
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 found[k].append((t * self.words + np.repeat(i, n)) * self.words + order[k, at])
+                # the best filter of each code, whatever its height: no vector is left without
+                found[k].append([(t * self.words + a[k].argmax()) * self.words + order[k, 0]])
         for f in found:
-            yield np.sort(np.concatenate(f))
+            yield np.unique(np.concatenate(f))
 
 
 @lru_cache(8)
@@ -155,7 +157,7 @@ def _compare(threshold: float):
     def group(f, p, q, node, n, part, x, lists):
         own = np.flatnonzero(part == p)
         rest = own if p == q else np.flatnonzero(part == q)
-        pi, pj = [], []
+        pi, pj = [own[:0]], [own[:0]]
         for a in range(0, len(own), 512):
             close = x[own[a : a + 512]] @ x[rest].T >= threshold
             i, j = np.nonzero(close)
