@@ -184,6 +184,8 @@ def extract(
             rows.append({n: _plain(read(doc, at), kind) for n, read, kind in readers})
         return pa.array(rows, arrow_type)
 
+    # marked so that no optimizer rule (such as the filter that Generate implies) evaluates it a second time
+    parse = parse.asNondeterministic()
     where = F.col(base).cast("string") if base else F.lit(None).cast("string")
     found = pages.withColumn("_parsed", parse(F.col(html).cast("string"), where))
     return found.withColumns({n: F.col("_parsed").getField(n) for n in wanted}).drop("_parsed")

@@ -42,7 +42,7 @@ class MediaDownloader:
                 return kind, declared, bytearray(data), None
             return None, None, None, error
 
-        fetched = F.udf(call, "content_type string, declared long, bytes binary, error string")
+        fetched = F.udf(call, "content_type string, declared long, bytes binary, error string").asNondeterministic()
         got = urls.select(F.col(url).alias("url"), fetched(F.col(url)).alias("r")).select("url", "r.*")
         size = F.coalesce("declared", F.octet_length("bytes").cast("long"))
         big = F.lit(False)
@@ -71,5 +71,5 @@ class MediaDownloader:
             os.replace(f"{path}.part", path)
             return path
 
-        saved = F.udf(save, "string")(filename(F.col("url")), F.col("bytes"))
+        saved = F.udf(save, "string").asNondeterministic()(filename(F.col("url")), F.col("bytes"))
         return self.download(urls, url).select("url", saved.alias("path"), "error")

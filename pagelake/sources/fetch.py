@@ -110,6 +110,7 @@ class CallableFetcher:
         def fetched(url, method, headers, body):
             return call(url, method, headers, body)
 
+        fetched = fetched.asNondeterministic()  # never sent twice
         sent = requests.where(~F.col("aborted")).withColumn("_r", fetched("url", "method", "headers", "body"))
         return sent.select(
             *names, F.col("_r.status").alias("status"), F.col("_r.headers").alias("response_headers"),
