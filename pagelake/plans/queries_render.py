@@ -514,34 +514,35 @@ def _site(spark, sf_dir):
 @query(
     """WITH RECURSIVE e(a, b) AS (SELECT 'r/' || n_regionkey, 'n/' || n_nationkey FROM nation UNION ALL SELECT 'n/' || c_nationkey, 'c/' || c_custkey FROM customer
     UNION ALL SELECT 'c/' || c_custkey, 'n/' || c_nationkey FROM customer),
-w(url, depth) AS (SELECT 'r/0', 0 UNION SELECT 'r/2', 0 UNION SELECT b, depth + 1 FROM w JOIN e ON a = url WHERE depth < 2 AND b NOT LIKE '%7')
+w(url, depth) AS (SELECT 'r/' || r_regionkey, 0 FROM region UNION SELECT b, depth + 1 FROM w JOIN e ON a = url WHERE depth < 2 AND b NOT LIKE '%7')
 SELECT 'http://w.example/' || url AS url, CAST(min(depth) AS INT) AS depth FROM w GROUP BY url"""
 )
 def crawl_bfs(spark, sf_dir):
     from ..sources.fetch import CorpusFetcher
 
     site, region = _site(spark, sf_dir)
-    seeds = region.where("r_regionkey in (0, 2)").select(cat("http://w.example/r/", c("r_regionkey")).alias("url"))
+    seeds = region.select(cat("http://w.example/r/", c("r_regionkey")).alias("url"))
     config = CrawlConfig(follow_links=True, max_depth=2, deny=("7$",), allowed_domains=("w.example",))
     found = Crawler(spark, CorpusFetcher(site), config).crawl(seeds)
     return found.where("refused is null").select("url", "depth")
 
 
 @query(
-    """SELECT 0 AS depth, 1::BIGINT AS total, 1::BIGINT AS success, 0::BIGINT AS failed, 1.0::DOUBLE AS success_rate
-    UNION ALL SELECT 1, count(*), count(*) FILTER (WHERE n_nationkey IN (SELECT c_nationkey FROM customer)), count(*) FILTER (WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)),
-    CAST(count(*) FILTER (WHERE n_nationkey IN (SELECT c_nationkey FROM customer)) AS DOUBLE) / count(*) FROM nation WHERE n_regionkey = 1"""
+    """SELECT depth, count(*) AS total, count(*) FILTER (WHERE found) AS success, count(*) FILTER (WHERE NOT found) AS failed,
+    CAST(count(*) FILTER (WHERE found) AS DOUBLE) / count(*) AS success_rate FROM (
+    SELECT 0 AS depth, r_regionkey IN (SELECT n_regionkey FROM nation) AS found FROM region
+    UNION ALL SELECT 1, n_nationkey IN (SELECT c_nationkey FROM customer) FROM nation) GROUP BY depth"""
 )
 def crawl_stats(spark, sf_dir):
     from ..sources.fetch import CorpusFetcher
 
-    site, _ = _site(spark, sf_dir)
-    seen = []
+    site, region = _site(spark, sf_dir)
     hooks = Hooks(on_request=lambda df: df.withColumn("aborted", c("aborted") | c("url").endswith("/never")))
-    hooks.on_element("a", lambda df: seen.append(df), "css")
+    hooks.on_element("a", lambda df: None)
     hooks.detach("a")
     crawler = Crawler(spark, CorpusFetcher(site), CrawlConfig(follow_links=True, max_depth=1), hooks)
-    return stats(crawler.visit("http://w.example/r/1"), "depth").drop("skipped")
+    found = crawler.crawl(region.select(cat("http://w.example/r/", c("r_regionkey")).alias("url")))
+    return stats(found, "depth").drop("skipped")
 
 
 @query("""SELECT 'http://w.example/n/' || c_nationkey AS url, count(*) AS links FROM customer GROUP BY c_nationkey""")
