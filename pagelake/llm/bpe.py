@@ -106,7 +106,7 @@ class Bpe:
         self.words: dict[str, bytes] = {}  # ids as little-endian uint32
         self.chunks: dict[str | int, bytes] = {}
 
-    # -- merging -------------------------------------------------------------------------
+    # merging
 
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all bytes of the words, one after another, and where each word starts (and the last ends)."""
@@ -227,7 +227,7 @@ class Bpe:
                 self.words.update(zip([words[i] for i in some.tolist()], [flat[a:b] for a, b in zip([0, *cut], cut)]))
             low, m = m, 2 * m
 
-    # -- texts ---------------------------------------------------------------------------
+    # texts
 
     def learn_chunks(self, chunks: set[str]) -> None:
         """Encode chunks that the cache lacks."""

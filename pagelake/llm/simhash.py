@@ -30,7 +30,7 @@ FULL = (1 << 64) - 1
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-# -- fingerprints ------------------------------------------------------------------------
+# fingerprints
 
 
 def fingerprint(text: str | None, shingle: int = 3, part: int = 1 << 17) -> int:
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-# -- routing -----------------------------------------------------------------------------
+# routing
 
 
 def parts(mask: int, n: int = LIMIT + 1) -> list[int]:
@@ -140,7 +140,7 @@ def _routed(distinct: DataFrame) -> DataFrame:
     return done
 
 
-# -- the index ---------------------------------------------------------------------------
+# the index
 
 
 class GrayIndex:
