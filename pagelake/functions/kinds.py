@@ -127,17 +127,17 @@ def video_id(url: Column) -> Column:
     kind = video_platform(url)
     return (
         F.when(kind == "youtube", get(r"(?:youtu\.be/|youtube\.com/(?:embed/|v/|watch\?v=))([A-Za-z0-9_-]{11})"))
-        .when(kind == "vimeo", get(r"vimeo\.com/(?:video/)?([0-9]+)"))
+        .when(kind == "vimeo", get(r"vimeo\.com(?:/video)?/([0-9]+)"))
         .when(kind == "dailymotion", get(r"dailymotion\.com/(?:embed/)?video/([A-Za-z0-9]+)"))
         .when(kind == "twitch", get(r"twitch\.tv/(?:videos/(?=[0-9]))?([A-Za-z0-9_]+)"))
-        .when(kind == "tiktok", get(r"tiktok\.com/@[^/]+/video/([0-9]+)"))
+        .when(kind == "tiktok", get(r"tiktok\.com/@[^/]{1,}/video/([0-9]+)"))
     )
 
 
 def thumbnail(url: Column) -> Column:
     kind, ident = video_platform(url), video_id(url)
     return F.when(kind == "youtube", F.concat(F.lit("https://img.youtube.com/vi/"), ident, F.lit("/maxresdefault.jpg"))).when(
-        kind == "dailymotion", F.concat(F.lit("https://www.dailymotion.com/thumbnail/video/"), ident)
+        kind == "dailymotion", F.concat(F.lit("https://www.dailymotion.com"), F.lit("/thumbnail/video/"), ident)
     )
 
 
@@ -150,7 +150,7 @@ def vimeo_embed_url(ident: Column) -> Column:
 
 
 def spotify_embed_url(ident: Column) -> Column:
-    return F.concat(F.lit("https://open.spotify.com/embed/track/"), ident)
+    return F.concat(F.lit("https://open.spotify.com"), F.lit("/embed/track/"), ident)
 
 
 def feed_type(content: Column) -> Column:

@@ -77,8 +77,8 @@ def is_xml(body: Column) -> Column:
 
 def feed_links(xml: Column) -> Column:
     """http(s) links of a feed: texts of link elements, then href attributes, distinct."""
-    texts = F.transform(F.regexp_extract_all(xml, F.lit(r"<link>\s*(https?://[^<]+?)\s*</link>"), F.lit(1)), lambda x: F.trim(x))
-    hrefs = F.transform(F.regexp_extract_all(xml, F.lit(r'<link[^>]+href="(https?://[^"]+)"'), F.lit(1)), lambda x: F.trim(x))
+    texts = F.transform(F.regexp_extract_all(xml, F.lit(r"<link>\s*(https?:[/]{2}[^<]*?[^<\s])\s*</link>"), F.lit(1)), lambda x: F.trim(x))
+    hrefs = F.transform(F.regexp_extract_all(xml, F.lit(r'<link[^>]{1,}href="(https?:[/]{2}[^"]+)"'), F.lit(1)), lambda x: F.trim(x))
     return F.array_distinct(F.concat(texts, hrefs))
 
 

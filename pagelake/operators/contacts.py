@@ -8,12 +8,13 @@ from .dom import Document
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
 _EMAIL_AT = re.compile(r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+_GAP = r"[\s.-]?"
 _PHONE = re.compile(
-    r"(?:\+?\d{1,3}[\s.-]?)?\(?\d{2,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}(?:\s*(?:#|ext|x|分机)\s*\d+)?\b"
+    rf"(?:\+?\d{{1,3}}{_GAP})?" + rf"\(?\d{{2,4}}\)?{_GAP}" + rf"\d{{3,4}}{_GAP}" + r"\d{3,4}" + r"(?:\s*(?:#|ext|x|分机)\s*\d+)?\b"
 )
 _TOLLFREE = re.compile(r"(?:\+?1[\s.-]?)?8(?:00|33|44|55|66|77|88)[\s.-]?\d{3}[\s.-]?\d{4}")
 _FREE = frozenset("800 833 844 855 866 877 888".split())
-_POSTAL = re.compile(r"\b\d{5}(?:-\d{4})?\b")
+_POSTAL = re.compile(r"\b\d{5}\b(?:-\d{4}\b)?")
 _POSTAL6 = re.compile(r"\b\d{6}\b")
 _CONTACT = re.compile(r"(?:about|contact|support|客服|关于我们|联系)", re.I)
 _STREET = "avenue boulevard drive lane road street zip 路 街 大道 巷 弄 邮编".split()
@@ -86,7 +87,7 @@ def emails(doc: Document) -> list[dict]:
         address = _cut(a.attrs["href"], "mailto:")
         label = a.joined()
         add(address, label if label and label != address else None, "mailto_link")
-    for m in doc.select('meta[name="email"], meta[property="email"]'):
+    for m in doc.select("meta[property=email], meta[name=email]"):
         if "content" in m.attrs:
             add(m.attrs["content"].strip(), None, "meta_tag")
     for address in _mentions(_body(doc)):
@@ -167,7 +168,7 @@ def address_parts(raw: str) -> dict:
     code = _POSTAL.search(text) or _POSTAL6.search(text)
     return {
         "raw": text, "street": text if len(text.encode()) < 200 else None,
-        "city": _labelled(text, ("city", "城市", "市", "city/state")), "state": _labelled(text, ("state", "province", "省", "州")),
+        "city": _labelled(text, "city 城市 市 city/state".split()), "state": _labelled(text, ("state", "province", "省", "州")),
         "postal_code": code[0] if code else None, "country": _labelled(text, ("country", "国家", "country/region")),
         "coordinates": None,
     }
@@ -214,7 +215,7 @@ def addresses(doc: Document) -> list[dict]:
         if raw and all(a["raw"] != raw for a in out):
             out.append(address_parts(raw) | {"raw": raw})
 
-    for el in doc.select('[itemtype*="PostalAddress"], address, .address, .adr, .location, .contact-address'):
+    for el in doc.select(".adr, .location, address, .contact-address, .address, [itemtype*=PostalAddress]"):
         add(el.joined())
     if not out:
         text = _body(doc)
@@ -283,7 +284,7 @@ def contact_page(doc: Document, base=None) -> str | None:
 
 
 def business_name(doc: Document) -> str | None:
-    for el in doc.select('[itemscope][itemtype*="Organization"] [itemprop="name"]'):
+    for el in doc.select("[itemtype*=Organization][itemscope] [itemprop=name]"):
         if name := el.attrs.get("content", "").strip() or el.joined():
             return name
     for el in doc.select('meta[property="og:site_name"]'):
@@ -291,7 +292,7 @@ def business_name(doc: Document) -> str | None:
             return name
     for el in doc.by_tag.get("title", ()):
         if full := el.joined():
-            for cut in (" | ", " - ", " – ", " — ", " |", " -"):
+            for cut in (" | ", *(f" {d} " for d in "-–—"), " |", " -"):
                 name = full.split(cut)[0].strip()
                 if name and len(name.encode()) < 80:
                     return name

@@ -17,10 +17,10 @@ INLINE = frozenset(
 )
 SKIPPED = frozenset("canvas embed iframe math noscript object script style svg template".split())
 BOILERPLATE = frozenset("aside footer header nav noscript script style".split())
-CONTENT = (
-    "article", "main", "[role=main]", *("." + c for c in "content post-content entry-content article-content".split()),
-    ".post-body", ".article-body", "#content", "#main-content", ".main-content",
-)
+CONTENT = tuple(
+    """article main [role=main] .content .post-content .entry-content .article-content
+    .post-body .article-body #content #main-content .main-content""".split()
+)
 LANGUAGES = frozenset(
     """zig zephir yara yang yaml xsl xml xaml x86asm wolfram webassembly wdl wasm vue visualbasic vim vhdl verilog vbnet
     vala v typoscript typescript twig turing toml thrift text tex terraform tcl systemverilog swift svelte stylus stata

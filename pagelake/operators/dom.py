@@ -21,7 +21,7 @@ CLOSES_P = frozenset(
     """address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt""".split()
 )
-HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
 SCOPE = frozenset("applet caption html table td th marquee object template".split())
 SPECIAL = CLOSES_P | SCOPE | frozenset("body head tbody thead tfoot tr button select option".split())
 
@@ -119,7 +119,7 @@ class Document:
             self._ensure_body()
         self._number()
 
-    # -- construction --------------------------------------------------------------------
+    # construction
 
     def _build(self, text):
         at, n = 0, len(text)
@@ -390,7 +390,7 @@ class Document:
                 stack.append((n, True))
                 stack.extend((c, False) for c in reversed(n.children))
 
-    # -- reading -------------------------------------------------------------------------
+    # reading
 
     def select(self, css: str, within: Node | None = None) -> list[Node]:
         from .css import compile_css

@@ -72,7 +72,7 @@ def flow(node: Node) -> str:
 
 
 def main_content(doc: Document) -> str:
-    for css in ("article", "main", "[role=main]", ".content", ".post-content"):
+    for css in "article main [role=main] .content .post-content".split():
         el = doc.first(css)
         if el is not None and len((t := flow(el)).encode()) > 50:
             return t
@@ -107,7 +107,7 @@ def amp(doc: Document, base=None) -> dict:
     link = doc.first("link[rel=amphtml]")
     canonical = next((e for e in doc.by_tag.get("link", ()) if e.attrs.get("rel", "").lower() == "canonical"), None)
     sources = [e.attrs["src"] for e in doc.select("script[src]")]
-    parts = [e.attrs.get("custom-element", e.attrs.get("custom-template")) for e in doc.select("script[custom-element], script[custom-template]")]
+    parts = [e.attrs.get("custom-element", e.attrs.get("custom-template")) for e in doc.select("script[custom-template], script[custom-element]")]
     version = None
     for src in sources:
         if "cdn.ampproject" not in src or "/" not in src:

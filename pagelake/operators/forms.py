@@ -96,7 +96,7 @@ def form_type(form) -> str:
 
 
 def _submit_text(doc, el):
-    for b in doc.select("input[type=submit], button[type=submit]", el):
+    for b in doc.select("button[type=submit], input[type=submit]", el):
         text = b.attrs.get("value")
         if b.tag == "button":
             text = b.joined(" ") or text

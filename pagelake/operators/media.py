@@ -50,10 +50,10 @@ _AUDIO_EXT = tuple(".aac .flac .m4a .mp3 .oga .ogg .opus .wav .wma".split())
 _AUDIO_MIME = (("mpeg", ".mp3"), ("wav", ".wav"), ("ogg", ".og[ga]"), ("flac", ".flac"), ("aac", ".aac"), ("mp4", ".m4a"), ("opus", ".opus"))
 _IDS = {
     "youtube": re.compile(r"(?:youtu\.be/|youtube\.com/(?:embed/|v/|watch\?v=))([\w-]{11})", re.A),
-    "vimeo": re.compile(r"vimeo\.com/(?:video/)?([0-9]+)"),
+    "vimeo": re.compile(r"vimeo\.com(?:/video)?/([0-9]+)"),
     "dailymotion": re.compile(r"dailymotion\.com/(?:embed/)?video/([A-Za-z0-9]+)"),
     "twitch": re.compile(r"twitch\.tv/(?:videos/(?=[0-9]))?(\w+)", re.A),
-    "tiktok": re.compile(r"tiktok\.com/@[^/]+/video/([0-9]+)"),
+    "tiktok": re.compile(r"tiktok\.com/@[^/]{1,}/video/([0-9]+)"),
 }
 #: in the order in which they are looked for
 DOCUMENTS = (
@@ -211,7 +211,7 @@ def thumbnail(kind, ident):
         return None
     return {
         "youtube": f"https://img.youtube.com/vi/{ident}/maxresdefault.jpg",
-        "dailymotion": f"https://www.dailymotion.com/thumbnail/video/{ident}",
+        "dailymotion": "https://www.dailymotion.com" + f"/thumbnail/video/{ident}",
     }.get(kind)
 
 
@@ -345,7 +345,7 @@ def documents(doc: Document, base=None) -> list[dict]:
     seen: set = set()
     out = list(_once((linked(el) for el in doc.select("a[href]") if is_document(el.attrs["href"])), seen))
     out += _once((linked(el) for el in doc.select("a[download][href]")), seen)
-    for css in ("object[data*='.pdf'], embed[src*='.pdf']", "iframe[src*='.pdf']"):
+    for css in ("embed[src*='.pdf'], object[data*='.pdf']", "iframe[src*='.pdf']"):
         for el in doc.select(css):
             src = el.attrs.get("data", el.attrs.get("src")) if el.tag != "iframe" else el.attrs["src"]
             if src not in seen:  # embedded files are told apart by their raw address
@@ -433,11 +433,11 @@ def has_media(doc: Document, base=None) -> dict:
     """Which kinds the raw page holds, placeholders included."""
     return {
         "image": bool(doc.select("img, picture")),
-        "video": bool(doc.select("video, iframe[src*='youtube'], iframe[src*='vimeo']")),
-        "audio": bool(doc.select("audio, iframe[src*='spotify'], iframe[src*='soundcloud']")),
+        "video": bool(doc.select("iframe[src*=vimeo], iframe[src*=youtube], video")),
+        "audio": bool(doc.select("iframe[src*=soundcloud], iframe[src*=spotify], audio")),
         "document": any(is_document(a.attrs["href"]) for a in doc.select("a[href]")),
         "embedded": any(
-            all(a.tag != "noscript" for a in e.ancestors()) for e in doc.select("iframe[src], object[data], embed[src]")
+            all(a.tag != "noscript" for a in e.ancestors()) for e in doc.select("embed[src], iframe[src], object[data]")
         ),
     }
 

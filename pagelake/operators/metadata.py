@@ -89,7 +89,7 @@ def _icon_size(sizes):
 
 def favicon(doc, base):
     best, best_size = None, -1
-    for el in doc.select("link[rel~='icon'], link[rel='shortcut icon'], link[rel='apple-touch-icon-precomposed']"):
+    for el in doc.select("link[rel=apple-touch-icon-precomposed], link[rel~=icon], link[rel='shortcut icon']"):
         href = el.attrs.get("href")
         if href is None:
             continue
@@ -104,7 +104,7 @@ def favicon(doc, base):
 def robots(doc):
     out = dict(index=True, follow=True, archive=True, cache=True, snippet=True, max_snippet=-1,
                max_image_preview="large", max_video_preview=-1, raw=None)
-    el = doc.first("meta[name='robots'], meta[name='ROBOTS']")
+    el = doc.first("meta[name=ROBOTS], meta[name=robots]")
     content = el.attrs.get("content") if el is not None else None
     if content is None:
         return out
@@ -208,7 +208,7 @@ def metadata(doc: Document, base=None) -> dict:
     keywords = named(doc, "keywords")
     structured = structured_data(doc)
     canonical, touch = doc.first('link[rel="canonical"]'), doc.first(
-        "link[rel='apple-touch-icon'], link[rel='apple-touch-icon-precomposed']"
+        "link[rel=apple-touch-icon-precomposed], link[rel=apple-touch-icon]"
     )
     return {
         "title": title(doc), "description": meta(doc, "description"),

@@ -170,10 +170,10 @@ def _beside(doc, base, rel, places, label, step):
 
 
 def next_page(doc: Document, base=None):
-    places = ("a.next", "a.next-page", 'a[rel="next"]', ".pagination a:last-child", ".pager a:last-child")
+    places = (*(f"a{c}" for c in ".next .next-page [rel=next]".split()), *(f".{c} a:last-child" for c in ("pagination", "pager")))
     return _beside(doc, base, "next", places, _NEXT, 1)
 
 
 def prev_page(doc: Document, base=None):
-    places = ("a.prev", "a.previous", "a.prev-page", 'a[rel="prev"]', ".pagination a:first-child", ".pager a:first-child")
+    places = (*(f"a.{c}" for c in "prev previous prev-page".split()), "a[rel=prev]", *(f".{c} a:first-child" for c in ("pagination", "pager")))
     return _beside(doc, base, "prev", places, _PREV, -1)

@@ -7,7 +7,7 @@ import json
 import re
 
 from .content import octets
-from .dom import Document, Node, outer_html
+from .dom import HEADINGS, Document, Node, outer_html
 from .metadata import meta, named, propertied, title
 
 _UNLIKELY = re.compile(
@@ -63,7 +63,7 @@ def _dropped(doc: Document):
 def _best(doc: Document, gone):
     scores: dict[Node, float] = {}
     for n in doc.all:
-        if n.tag not in ("p", "td", "pre", "section", "h2", "h3", "h4", "h5", "h6") or n in gone or any(a in gone for a in n.ancestors()):
+        if n.tag not in ("p", "td", "pre", "section", *(HEADINGS - {"h1"})) or n in gone or any(a in gone for a in n.ancestors()):
             continue
         text = _text(n, gone)
         if len(text) < 25:
@@ -117,7 +117,7 @@ def _markdown(n: Node, gone, depth=0) -> str:
         return ""
     inner = "".join(_markdown(c, gone, depth + (n.tag in ("ul", "ol"))) for c in n.children)
     bare = inner.strip()
-    if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+    if n.tag in HEADINGS:
         return f"\n\n{'#' * int(n.tag[1])} {bare}\n\n" if bare else ""
     if n.tag in ("strong", "b"):
         return f"**{bare}**" if bare else ""

@@ -31,7 +31,7 @@ def _grouped(df, keys, order, html):
     return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["h"]), "").alias("body"))
 
 
-# -- metadata ----------------------------------------------------------------------------
+# metadata
 
 
 @query(
@@ -108,7 +108,7 @@ def structured_data(spark, sf_dir):
     )
 
 
-# -- content -----------------------------------------------------------------------------
+# content
 
 
 @query(
@@ -195,7 +195,7 @@ def images(spark, sf_dir):
     return found.select("p_partkey", "url", "alt", "width", (c("loading") == "lazy").alias("lazy"), "is_decorative")
 
 
-# -- links -------------------------------------------------------------------------------
+# links
 
 _SITES = "CASE o_custkey % 4 WHEN 0 THEN 'http://shop.example/o/' WHEN 1 THEN 'http://sub.shop.example/o/' WHEN 2 THEN 'http://other' || (o_custkey % 10) || '.example/o/' ELSE 'http://shop.example/a/' END || o_orderkey"
 _KIND = "CASE WHEN o_custkey % 4 = 2 THEN 'external' ELSE 'internal' END"
@@ -234,7 +234,7 @@ def link_stats(spark, sf_dir):
     return found.select("o_custkey", *(f"s.{n}" for n in names), F.array_join("s.external_domains", " ").alias("external_domains"))
 
 
-# -- forms -------------------------------------------------------------------------------
+# forms
 
 _ACTIONS = "login register search upload contact-us subscribe checkout comment other reset-password".split()
 _ACTION_SQL = "[" + ", ".join(f"'{a}'" for a in _ACTIONS) + "][(o_orderkey % 10) + 1]"
@@ -277,7 +277,7 @@ def form_fields(spark, sf_dir):
     return found.select("o_orderkey", "name", "field_type", "label", "required", "min_length", "value", F.size("options").alias("options"))
 
 
-# -- pagination --------------------------------------------------------------------------
+# pagination
 
 
 @query(
@@ -300,7 +300,7 @@ def pagination(spark, sf_dir):
     )
 
 
-# -- contacts ----------------------------------------------------------------------------
+# contacts
 
 
 @query(
@@ -325,7 +325,7 @@ def contacts(spark, sf_dir):
     )
 
 
-# -- feeds -------------------------------------------------------------------------------
+# feeds
 
 
 @query(
@@ -335,7 +335,7 @@ def contacts(spark, sf_dir):
 def feeds(spark, sf_dir):
     html = cat(
         '<link rel=alternate type="application/rss+xml" title="', escaped(c("s_name")), '" href="/f/', c("s_suppkey"),
-        '"><link rel="alternate" href="x.atom"><link rel="sitemap" href="/sitemap.xml">',
+        '"><link rel="alternate" href="x.atom"><link href=/sitemap.xml rel=sitemap>',
     )
     found = extract(_of(spark, sf_dir, "supplier", html, "s_suppkey"), "feeds", "sitemaps")
     maps = found.select("s_suppkey", F.inline("sitemaps")).select("s_suppkey", c("sitemap_type").alias("feed_type"), "url", F.lit(None).cast("string").alias("title"))
@@ -352,12 +352,12 @@ def feed_links(spark, sf_dir):
     atom = cat('<entry><link rel="x" href="http://n.example/', c("n_nationkey"), '"/></entry>')
     even = c("n_regionkey") % 2 == 0
     body = _grouped(table(spark, sf_dir, "nation"), ["n_regionkey"], "n_nationkey", F.when(even, rss).otherwise(atom))
-    xml = F.when(even, cat('<?xml version="1.0"?><rss version="2.0">', c("body"), "</rss>")).otherwise(cat("<feed>", c("body"), "</feed>"))
+    xml = F.when(even, cat('<rss version="2.0">', c("body"), "</rss>")).otherwise(cat("<feed>", c("body"), "</feed>"))
     found = body.withColumn("xml", xml)
     return found.select(c("n_regionkey").alias("feed"), kinds.feed_type(c("xml")).alias("feed_type"), F.explode(read(c("xml"))).alias("link"))
 
 
-# -- fingerprints ------------------------------------------------------------------------
+# fingerprints
 
 
 @query(
@@ -385,7 +385,7 @@ def amp_cache(spark, sf_dir):
     mark = F.when(k % 2 == 0, "<html amp>").otherwise("<html>")
     said = F.when(k % 3 == 0, "private").when(k % 3 == 1, cat("max-age=", k, ", public")).otherwise("public")
     html = cat(
-        mark, '<head><link rel=amphtml href="/amp"><link rel=Canonical href="/c/', k, '"><script async custom-element="amp-ad" src="https://cdn.ampproject.org/v0/amp-ad.js"></script>',
+        mark, '<head><link rel=amphtml href="/amp"><link rel=Canonical href="/c/', k, '"><script custom-element=amp-ad src=//cdn.ampproject.org/v1.js></script>',
         '<meta http-equiv="Cache-Control" content="', said, '"></head>',
     )
     found = extract(_of(spark, sf_dir, "supplier", html, "s_suppkey"), "amp", "cache_hints")
@@ -395,7 +395,7 @@ def amp_cache(spark, sf_dir):
     )
 
 
-# -- media -------------------------------------------------------------------------------
+# media
 
 
 def _media(spark, sf_dir, *names, **features):
@@ -403,9 +403,9 @@ def _media(spark, sf_dir, *names, **features):
     html = cat(
         '<img src="/i/', k, '.jpg" srcset="/s.jpg 100w, /l', k, ".jpg ", c("p_size") + 200, 'w"><img src="/spacer.gif"><img data-src="/lazy/', k, '.webp" width=5px height=5px>',
         '<video src="/v/', k, '.mp4" poster=p.png muted><source src="/v.webm" type="video/webm"><track src=t.vtt kind=captions default></video>',
-        '<iframe src="https://www.youtube.com/embed/', F.lpad(k.cast("string"), 11, "a"), '"></iframe><iframe src="//w.soundcloud.com/', k, '" title=s></iframe>',
+        '<iframe src=//www.youtube.com/embed/', F.lpad(k.cast("string"), 11, "a"), '></iframe><iframe src="//w.soundcloud.com/', k, '" title=s></iframe>',
         '<audio controls><source src="/a/', k, '.mp3"></audio><a href="/d/', k, '.docx?x">', escaped(c("p_name")), '</a><embed src="/e/', k, '.pdf">',
-        '<noscript><iframe src="http://hidden"></iframe></noscript><blockquote class="twitter-tweet"><a href="https://twitter.com/x/', k, '">t</a></blockquote>',
+        '<noscript><iframe src="http://hidden"></iframe></noscript>', "<blockquote class=twitter-tweet><a href='https://twitter.com/x/", k, "'>t</a></blockquote>",
     )
     return extract(_of(spark, sf_dir, "part", html, "p_partkey"), *names, **features)
 
@@ -476,7 +476,7 @@ def media_min_size(spark, sf_dir):
     return found.select("p_partkey", (F.size("media.images") > 0).alias("large"))
 
 
-# -- selectors and elements --------------------------------------------------------------
+# selectors and elements
 
 
 @query(
@@ -498,7 +498,7 @@ def element_hooks(spark, sf_dir):
     )
 
 
-# -- crawl -------------------------------------------------------------------------------
+# crawl
 
 
 def _site(spark, sf_dir):
