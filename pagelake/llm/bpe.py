@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import text_batches
+from .shared import spread, text_batches
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^%s\p{L}\p{N}]+" % _SPACE)
@@ -336,7 +336,7 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False) -> DataFr
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(n for n, _ in wanted)])
 
     schema = "doc_id long, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, schema)
+    return spread(docs.select(docs["doc_id"].cast("long"), "text")).mapInArrow(run, schema)
 
 
 def decode_documents(tokens: DataFrame, path: str) -> DataFrame:

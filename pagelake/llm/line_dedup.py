@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .shared import text_batches, written
+from .shared import spread, text_batches, written
 
 MIN_WORDS = 50
 SEED = 42
@@ -106,7 +106,7 @@ def _windows_of(docs: DataFrame, least: int) -> DataFrame:
             )
 
     schema = "print long, content long, doc_id long, mark long, s int, e int"
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, schema)
+    return spread(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))).mapInArrow(run, schema)
 
 
 @pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType())]))

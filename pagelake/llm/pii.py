@@ -13,7 +13,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import text_batches
+from .shared import spread, text_batches
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -141,7 +141,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(kind))], ["doc_id", "spans"])
 
     schema = "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>"
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, schema)
+    return spread(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def digest(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, schema)
+    return spread(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir):

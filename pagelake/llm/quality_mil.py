@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_batches
+from .shared import spread, text_batches
 
 PASSAGE = 64
 TRAIN_DOCS = 4_000
@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, docs_most: int = TRAIN_DOCS, passa
         return None
     # docs_most ids at the most
     ids = F.broadcast(spark.createDataFrame([(i,) for i in y], "_id long"))
-    some = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    some = spread(docs.select("doc_id", "text")).join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def run(batches):
         for b in batches:
@@ -262,6 +262,7 @@ def classify(docs: DataFrame, model: Model | None, carry: bool = False) -> DataF
             return np.zeros(0)
         return np.array([float(bool(t.split())) for t in texts]) if model is None else model.score(texts)
 
+    docs = spread(docs)
     value = score(docs["text"].cast("string"))
     if carry:
         return docs.withColumn("_score", value)

@@ -59,6 +59,12 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, TEXT_ROWS)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on at least as many partitions as there are cores: a single small file is a single task otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as BIGINT, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import text_batches, written
+from .shared import spread, text_batches, written
 
 SEED = 42
 LIMIT = 2
@@ -66,7 +66,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, fp long")
+    texts = spread(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    return texts.mapInArrow(run, "doc_id long, fp long")
 
 
 # routing
