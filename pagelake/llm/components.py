@@ -1,7 +1,7 @@
 """Distributed connected components by alternating large-star and small-star rounds.
 
-Each round is a partial-aggregated minimum and one equi-join, so no group is ever collected;
-a node with very many neighbours is split by AQE's skew join. The number of rounds grows with
+Each round is a partial-aggregated minimum and one equi-join, so no group is ever collected; nodes
+with very many neighbours are few and joined by broadcast. The number of rounds grows with
 the logarithm of the longest path.
 """
 
@@ -10,18 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_written, written
+from .shared import drop_written, join_unique, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     """One star round over (a, b) with a > b; every node is tied to its smallest neighbour."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        out = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        tied = join_unique(both, low, ["a"], "n", 2 * total)
+        out = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        tied = edges.join(low, "a")
+        low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        tied = join_unique(edges, low, ["a"], "n", total)
         out = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b"))
         )
@@ -44,8 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        after = written(_star(_star(now, True), False), "edges")
+        star = written(_star(now, mark[0], True), "edges")
+        after = written(_star(star, mark[0], False), "edges")
         drop_written(now)
+        drop_written(star)
         now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

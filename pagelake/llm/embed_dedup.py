@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import join_unique, written
 
 THRESHOLD = 0.9
 BUCKET = 96
@@ -247,10 +247,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     known = classes.join(links, "node", "left").join(roots, F.col("node") == F.col("_node"), "left")
     known = known.withColumn("root", F.coalesce("root", "node"))
     names = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    facts = known.join(names, "root").select(
-        "_v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"
+    facts = written(
+        known.join(names, "root").select(
+            "_v", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"
+        ),
+        "facts",
     )
-    out = base.where("_ok").join(facts, "_v").select("vec_id", "n_links", "component_id")
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    out = join_unique(base.where("_ok"), facts, ["_v"], "n", total).select("vec_id", "n_links", "component_id")
     alone = base.where("not _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .shared import spread, text_batches, written
+from .shared import join_unique, spread, text_batches, written
 
 MIN_WORDS = 50
 SEED = 42
@@ -144,9 +144,11 @@ def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     """
     found = written(_windows_of(docs, min_words), "windows")
     place = F.struct("doc_id", "mark", "s", "e")
-    first = found.groupBy("print", "content").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.where("first <> last").select("print", "content", "first")
-    later = found.join(first, ["print", "content"]).where(place > F.col("first"))
+    first = found.groupBy("print", "content").agg(
+        F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")
+    )
+    first = written(first.where("first <> last").drop("last"), "first")
+    later = join_unique(found, first, ["print", "content"], "n", found.count()).where(place > F.col("first"))
     run = F.shiftleft(F.col("s").cast("long"), 32) + F.col("e")
     runs = later.groupBy("doc_id", "mark").agg(F.collect_set(run).alias("_runs"))
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_runs")

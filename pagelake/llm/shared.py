@@ -65,6 +65,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: At most so many keys can each hold more than one part in HOT_KEYS of all rows.
+HOT_KEYS = 10_000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of one row per key, whose column ``n`` tells how many of ``total`` rows hold the key.
+
+    Keys with more than total / HOT_KEYS rows are fewer than HOT_KEYS by counting, so they are broadcast and their
+    rows aren't shuffled; the other keys can't fill a partition. ``n`` isn't in the result.
+    """
+    limit = max(total // HOT_KEYS, 1_000)
+    hot = F.broadcast(unique.where(F.col(n) > limit).drop(n))
+    rest = unique.where(F.col(n) <= limit).drop(n)
+    cold = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(rest, keys))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as BIGINT, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import spread, text_batches, written
+from .shared import join_unique, spread, text_batches, written
 
 SEED = 42
 LIMIT = 2
@@ -270,10 +270,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = distinct.join(around, "fp", "left").join(roots, distinct["fp"] == roots["node"], "left")
     known = known.select("fp", "n", "low", "m", F.coalesce("root", "fp").alias("root"))
     names = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    facts = known.join(names, "root").select(
-        "fp", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_near"), "component_id"
+    facts = written(
+        known.join(names, "root").select(
+            "fp", "n", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_near"), "component_id"
+        ),
+        "facts",
     )
-    return marked.join(facts, "fp").select(
+    return join_unique(marked, facts, ["fp"], "n", marked.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id"
     )
 

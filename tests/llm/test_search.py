@@ -202,3 +202,15 @@ def test_registered():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names
+
+
+def test_hot_keys_are_joined_once(spark):
+    from pyspark.sql import functions as F
+
+    from pagelake.llm.shared import join_unique
+
+    rows = spark.range(6_000).selectExpr("CASE WHEN id < 3000 THEN 0 ELSE id END AS k", "id AS v")
+    unique = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low"))
+    got = join_unique(rows, unique, ["k"], "n", 6_000)
+    assert got.columns == ["k", "v", "low"] and got.count() == 6_000 and got.where("k = 0 AND low = 0").count() == 3_000
+    assert got.where("k <> 0 AND low <> v").count() == 0
