@@ -8,12 +8,10 @@ folder, which cuts lineage and survives the loss of an executor.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass, field, replace
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kinds import feed_type
@@ -22,16 +20,8 @@ from ..functions.urls import domain_allowed, url_allowed, url_host
 from ..sources.fetch import default_headers, refusal, requests
 from .config import CrawlConfig, LimitRule
 from .parse import elements, extract, selected_links
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local master without it gets a folder of its own, a cluster without it is refused."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="pagelake-crawl-")
+from .ranking import row_numbers
+from .shared import written
 
 
 def matching_rule(hosts: DataFrame, rules: tuple[LimitRule, ...], host: str = "host") -> DataFrame:
@@ -50,11 +40,11 @@ def matching_rule(hosts: DataFrame, rules: tuple[LimitRule, ...], host: str = "h
 
 def schedule(urls: DataFrame, rules: tuple[LimitRule, ...], url: str = "url", order: str = "seq") -> DataFrame:
     """``urls`` with the second at which politeness lets each start: per host, batches of its rule's parallelism
-    every delay. A host's queue is the unit that can't be split: its requests are meant to be sequential."""
-    hosted = matching_rule(urls.withColumn("host", url_host(F.col(url))), rules)
-    turn = F.row_number().over(Window.partitionBy("host").orderBy(order, url)) - 1
+    every delay. A host may hold any share of the rows."""
+    queued = row_numbers(urls.withColumn("host", url_host(F.col(url))), "host", [order, url], "_turn")
+    hosted, turn = matching_rule(queued, rules), F.col("_turn") - 1
     start = F.floor(turn / F.coalesce("parallelism", F.lit(1))) * F.coalesce("delay_s", F.lit(0.0))
-    return hosted.withColumn("start_s", F.when(F.col("rule_order").isNull(), 0.0).otherwise(start))
+    return hosted.withColumn("start_s", F.when(F.col("rule_order").isNull(), 0.0).otherwise(start)).drop("_turn")
 
 
 @dataclass
@@ -95,11 +85,6 @@ class Crawler:
         c = self.config
         return url_allowed(url, c.allow, c.deny) & domain_allowed(url, c.allowed_domains, c.disallowed_domains)
 
-    def _write(self, df: DataFrame, what: str) -> DataFrame:
-        path = f"{shared_folder(self.spark)}/{what}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
     def _fetch(self, frontier: DataFrame) -> DataFrame:
         c, h = self.config, self.hooks
         sent = default_headers(frontier, dict(c.headers))
@@ -120,7 +105,7 @@ class Crawler:
             if visited is not None:
                 seen = frontier.where("not allow_revisit").join(visited, "url", "left_anti")
                 frontier = seen.unionByName(frontier.where("allow_revisit"))
-            level = self._write(self._fetch(frontier), f"level{depth}")
+            level = written(self._fetch(frontier), f"level{depth}")
             good = level.where("refused is null")
             for call, rows in ((h.on_error, level.where("refused is not null")), (h.on_html, good.where(self._html()))):
                 if call:
@@ -140,7 +125,7 @@ class Crawler:
             links = selected_links(c.link_selector, c.link_selector_type, absolute=True)
             found = extract(good.where(self._html()), html="response_body", base="final_url", _links=links)
             onward = found.select(F.explode("_links").alias("url")).distinct().where(self.allowed(F.col("url")))
-            onward = self._write(onward.join(visited, "url", "left_anti"), f"frontier{depth + 1}")
+            onward = written(onward.join(visited, "url", "left_anti"), f"frontier{depth + 1}")
             if onward.isEmpty():
                 break
             depth += 1

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import kinds, responses, text, urls
@@ -13,7 +12,9 @@ from . import records
 from .config import ExtractorConfig, LimitRule
 from .crawl import matching_rule, schedule
 from .parse import extract, first_text, parse_pages, readable, selected_links, texts
+from .ranking import row_numbers
 from .registry import cat, pages, query, spread, sql_any, sql_words, table
+from .shared import written
 
 _HOST = "lower(nullif(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), ''))"
 HOST = _HOST.format("url")
@@ -483,6 +484,9 @@ def page_text(spark, sf_dir):
     WINDOW w AS (PARTITION BY host ORDER BY page_id)"""
 )
 def host_neighbours(spark, sf_dir):
-    w = Window.partitionBy("host").orderBy("page_id")
     found = table(spark, sf_dir, "pages").select(urls.url_host(F.col("url")).alias("host"), "page_id")
-    return found.withColumn("before", F.lag("page_id").over(w)).withColumn("turn", F.row_number().over(w).cast("long"))
+    turns = written(row_numbers(found, "host", ["page_id"]), "turns")
+    before = turns.select(F.col("host").alias("_host"), (F.col("turn") + 1).alias("_turn"), F.col("page_id").alias("before"))
+    return turns.join(before, F.col("host").eqNullSafe(F.col("_host")) & (F.col("turn") == F.col("_turn")), "left").select(
+        "host", "page_id", "before", "turn"
+    )

@@ -11,6 +11,7 @@ from .crawl import Crawler, Hooks, stats
 from .parse import attributes, children, elements, extract, media_feature, selected_links, texts
 from .config import MediaConfig
 from .registry import cat, escaped, query, spread, table
+from .shared import written
 
 c = F.col
 BASE = "http://shop.example/a/b"
@@ -508,7 +509,8 @@ def _site(spark, sf_dir):
     down = lambda df, kind, key, parent: _grouped(df, [parent], key, cat(f'<a href="/{kind}/', c(key), '">x</a>'))
     nations, customers = down(nation, "n", "n_nationkey", "n_regionkey"), down(customer, "c", "c_custkey", "c_nationkey")
     leaf = customer.select(cat("http://w.example/c/", c("c_custkey")).alias("url"), cat('<a href="../n/', c("c_nationkey"), '">up</a>').alias("html"))
-    return page(nations, "r", "n_regionkey").unionByName(page(customers, "n", "c_nationkey")).unionByName(leaf), region
+    site = page(nations, "r", "n_regionkey").unionByName(page(customers, "n", "c_nationkey")).unionByName(leaf)
+    return written(site, "site"), region
 
 
 @query(
