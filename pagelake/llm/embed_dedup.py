@@ -92,12 +92,6 @@ def code(d: int, n: int, threshold: float) -> Code:
     return Code(d, n, threshold)
 
 
-def _matrix(column, kind=np.float64) -> np.ndarray:
-    """A column of equally long binary values as a matrix of doubles."""
-    raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
-
-
 def _filtered(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     """(node, n, d, data, filters) of each class; data holds the unit vector's doubles."""
 
@@ -127,6 +121,14 @@ def _filtered(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     return classes.select("node", "n", F.col("_v").alias("v")).mapInArrow(run, schema)
 
 
+def _offsets(column) -> np.ndarray:
+    """Where the values of each row of a string-like or list column start, and the last end."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    kind = np.int64 if pa.types.is_large_list(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
 def _first_shared(lists: np.ndarray, i: np.ndarray, j: np.ndarray, f: int) -> np.ndarray:
     """Whether f is the least filter that rows i and j share; lists: sorted filters, padded by -1."""
     ok = np.ones(len(i), bool)
@@ -182,13 +184,16 @@ def _compare(threshold: float):
             keys = np.stack([t.column(c).to_numpy() for c in ("d", "f", "p", "q")], axis=1)
             cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]]))
             node, n, part = (t.column(c).to_numpy() for c in ("node", "n", "part"))
-            data, filters = t.column("data").to_pylist(), t.column("filters").to_pylist()
+            data, filters = t.column("data").combine_chunks(), t.column("filters").combine_chunks()
+            starts, raw = _offsets(data), data.buffers()[2]
+            at, flat = _offsets(filters), filters.values.to_numpy()
             for a, z in zip(cuts, cuts[1:]):
                 if z - a > 1:
                     d, f, p, q = keys[a]
-                    x = np.frombuffer(b"".join(data[a:z]), np.float64).reshape(z - a, int(d))
-                    width = max(map(len, filters[a:z]))
-                    lists = np.array([r + [-1] * (width - len(r)) for r in filters[a:z]])
+                    x = np.frombuffer(raw, np.float64, (z - a) * int(d), starts[a]).reshape(z - a, int(d))
+                    sizes = np.diff(at[a : z + 1])
+                    lists = np.full((z - a, sizes.max()), -1, np.int64)
+                    lists[np.arange(lists.shape[1]) < sizes[:, None]] = flat[at[a] : at[z]]
                     if (out := group(f, p, q, node[a:z], n[a:z], part[a:z], x, lists)) is not None:
                         yield out
 
