@@ -32,7 +32,7 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^%s\p{L}\p{N}]+"
 _CHUNKS = regex.compile("[^%s]+" % _SPACE)
 _ODD = regex.compile("[\x1c-\x1f]")  # str.split takes these for white space, the tokenizer doesn't
 SHORT = 64
-CACHE = 250_000
+CACHE = 150_000
 _NONE = 1 << 30
 
 
