@@ -60,7 +60,12 @@ def text_batches(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` on at least as many partitions as there are cores: a single small file is a single task otherwise."""
+    """``df`` on at least as many partitions as there are cores: a single small file is a single task otherwise.
+
+    A plan that shuffles stays as it is, since counting its partitions would run it.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
