@@ -27,17 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages table, spread over the cores before pages are parsed: one file is one task otherwise."""
-    found = table(spark, sf_dir, "pages")
-    least = spark.sparkContext.defaultParallelism
-    return found if found.rdd.getNumPartitions() >= least else found.repartition(least)
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on at least as many partitions as there are cores: a single small file is a single task otherwise.
 
+    A plan that shuffles stays as it is, since counting its partitions would run it.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows that become pages, spread likewise."""
-    least = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table, spread over the cores before pages are parsed."""
+    return spread(table(spark, sf_dir, "pages"))
 
 
 def cat(*parts) -> Column:
