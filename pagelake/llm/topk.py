@@ -20,7 +20,7 @@ K = 10
 EVERY = 100
 SCALE = 1024
 BINS = 4096
-QUERY_BLOCK, ROW_BLOCK = 512, 16_384
+QUERY_BLOCK, ROW_BLOCK, AT_ONCE = 4_096, 8_192, 256
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -70,12 +70,17 @@ def _blocks(batch, prefix):
     return ids, np.frombuffer(batch[f"{prefix}_data"], np.float64).reshape(len(ids), -1)
 
 
-def _scores(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _scores(row):
+    """Yields (query ids, candidate ids, scores, low, width) for AT_ONCE queries of a pair of blocks at a time."""
     qids, q = _blocks(row, "q")
     cids, c = _blocks(row, "c")
-    s = q @ c.T
-    s[qids[:, None] == cids[None, :]] = -np.inf
-    return qids, cids, s
+    of = {r["query_id"]: (r["low"], r["width"]) for r in row["ranges"]}
+    for a in range(0, len(qids), AT_ONCE):
+        some = qids[a : a + AT_ONCE]
+        s = q[a : a + AT_ONCE] @ c.T
+        s[some[:, None] == cids[None, :]] = -np.inf
+        range_ = np.array([of.get(i, (np.inf, 1.0)) for i in some.tolist()])
+        yield some, cids, s, range_[:, 0], range_[:, 1]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -93,8 +98,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     asked = quantised(queries, scale).where("vec_id is not null").groupBy("vec_id").agg(F.max("v").alias("v"))
     c = _packed(rows, ROW_BLOCK, "c_block", n).toDF("c_d", "c_ids", "c_data", "c_block")
     q = _packed(asked, QUERY_BLOCK, "q_block", n).toDF("q_d", "q_ids", "q_data", "q_block")
-    # every block of queries against every block of rows of its length
-    tasks = q.join(c, q["q_d"] == c["c_d"]).repartition(n, "q_block", "c_block")
+    c = c.withColumn("salt", F.pmod(F.xxhash64("c_block"), F.lit(n)))
 
     # a first range from the norms, by Cauchy and Schwarz
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
@@ -112,7 +116,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
         widest = state.agg(F.max("width")).first()[0]
         if widest is None or widest <= 1:
             break
-        counts = _with_ranges(tasks, state, q).mapInArrow(_histogram(k), "query_id long, bin long, n long, step double")
+        counts = _tasks(q, c, state, n).mapInArrow(_histogram(k), "query_id long, bin long, n long, step double")
         sums = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"), F.max("step").alias("step"))
         down = Window.partitionBy("query_id").orderBy(F.col("bin").desc())
         run = sums.withColumn("upto", F.sum("n").over(down)).join(state, "query_id")
@@ -129,21 +133,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
             ),
             "ranges",
         )
-    found = _with_ranges(tasks, state, q).mapInArrow(_chosen(k), "query_id long, vec_id long, score long")
+    found = _tasks(q, c, state, n).mapInArrow(_chosen(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
 
 
-def _with_ranges(tasks: DataFrame, state: DataFrame, q: DataFrame) -> DataFrame:
-    """Block pairs with the ranges of the block's queries, in an array that is as bounded as the block."""
+def _tasks(q: DataFrame, c: DataFrame, state: DataFrame, n: int) -> DataFrame:
+    """Every block of queries, with its queries' ranges, beside every block of rows of its length.
+
+    Row blocks are dealt out by a salt and query blocks go to every salt, so no key holds more than its share.
+    """
     member = _unpacked(q.select("q_block", F.col("q_ids").alias("ids")))
     mine = member.join(state, "query_id").groupBy("q_block").agg(
-        F.collect_list(F.struct("query_id", "low", "width")).alias("ranges")
+        F.collect_list(F.struct("query_id", "low", "width")).alias("ranges")  # as bounded as the block
     )
-    mine = written(mine, "ranges")
-    return tasks.join(mine, "q_block").select("q_ids", "q_data", "c_ids", "c_data", "ranges")
+    asked = written(q.join(mine, "q_block"), "asked")
+    dealt = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    pairs = dealt.join(c, (F.col("q_d") == F.col("c_d")) & (dealt["salt"] == c["salt"]))
+    return pairs.select("q_ids", "q_data", "c_ids", "c_data", "ranges")
 
 
 def _unpacked(blocks: DataFrame) -> DataFrame:
@@ -158,18 +167,10 @@ def _unpacked(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "q_block long, query_id long")
 
 
-def _ranges(row, qids):
-    of = {r["query_id"]: (r["low"], r["width"]) for r in row["ranges"]}
-    got = np.array([of.get(i, (np.inf, 1.0)) for i in qids.tolist()]).reshape(-1, 2)
-    return got[:, 0], got[:, 1]
-
-
 def _histogram(k: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                qids, _, s = _scores(row)
-                low, width = _ranges(row, qids)
+            for qids, _, s, low, width in (x for row in batch.to_pylist() for x in _scores(row)):
                 step = np.maximum(1.0, np.ceil(width / BINS))
                 inside = (s >= low[:, None]) & (s < (low + width)[:, None])
                 s[~inside] = -np.inf
@@ -189,9 +190,7 @@ def _histogram(k: int):
 def _chosen(k: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                qids, cids, s = _scores(row)
-                low, _ = _ranges(row, qids)
+            for qids, cids, s, low, _ in (x for row in batch.to_pylist() for x in _scores(row)):
                 out = []
                 for i in range(len(qids)):
                     hit = np.flatnonzero((s[i] >= low[i]) & np.isfinite(s[i]))
