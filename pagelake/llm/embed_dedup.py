@@ -266,3 +266,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 def query(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS norm FROM v WHERE list_inner_product(v, v) > 0),
+e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM n p JOIN n q ON p.vec_id <> q.vec_id AND len(p.v) = len(q.v)
+  AND list_inner_product(p.v, q.v) >= 0.9 * p.norm * q.norm),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a), r AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN l ON l.a = vec_id LEFT JOIN r ON r.a = vec_id
+"""

@@ -20,6 +20,7 @@ QUERIES = {
 SQL = {
     "op3_topk": topk.SQL,
     "op6_url": url_filter.SQL,
+    "op7_embed": embed_dedup.SQL,
     "op9_mix": mixing.SQL,
     "op10_lines": line_dedup.SQL,
 }
