@@ -21,7 +21,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from .shared import join_unique, spread, text_batches, written
 
@@ -109,25 +108,24 @@ def _windows_of(docs: DataFrame, least: int) -> DataFrame:
     return spread(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))).mapInArrow(run, schema)
 
 
-@pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType())]))
-def _without(text, runs):
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType())]))
+def _without(text: pa.Array, runs: pa.Array) -> pa.Array:
     """A text without the lines of the runs (start * 2^32 + end), and how many lines with words went."""
-    import pandas as pd
-
-    out = []
+    texts, counts = [], []
     for t, spans in zip(text, runs):
-        if t is None:
-            out.append((None, 0))
-            continue
-        lines = t.split("\n")
-        spans = np.asarray(spans, np.int64)
-        edge = np.zeros(len(lines) + 1, np.int64)
-        np.add.at(edge, spans >> 32, 1)
-        np.add.at(edge, (spans & 0xFFFFFFFF) + 1, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        n = sum(1 for line, g in zip(lines, gone) if g and line.encode().split())
-        out.append(("\n".join([line for line, g in zip(lines, gone) if not g]), n))
-    return pd.DataFrame(out, columns=["text", "n"])
+        t, n = t.as_py(), 0
+        if t is not None:
+            lines = t.split("\n")
+            spans = spans.values.to_numpy()
+            edge = np.zeros(len(lines) + 1, np.int64)
+            np.add.at(edge, spans >> 32, 1)
+            np.add.at(edge, (spans & 0xFFFFFFFF) + 1, -1)
+            gone = (np.cumsum(edge[:-1]) > 0).tolist()
+            n = sum(1 for line, g in zip(lines, gone) if g and line.encode().split())
+            t = "\n".join([line for line, g in zip(lines, gone) if not g])
+        texts.append(t)
+        counts.append(n)
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["text", "n"])
 
 
 def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -242,20 +242,18 @@ def classify(docs: DataFrame, model: Model | None, carry: bool = False) -> DataF
 
     text_batches(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
         out, part, size = [], [], 0
         for t in text:
-            raw = (t or "").encode()
+            raw = (t.as_py() or "").encode()
             part.append(raw)
             size += len(raw)
             if size > 1 << 19:
                 out.append(_score(part))
                 part, size = [], 0
         out.append(_score(part))
-        return pd.Series(np.concatenate(out))
+        return pa.array(np.concatenate(out))
 
     def _score(texts):
         if not texts:
