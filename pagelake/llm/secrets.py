@@ -2,8 +2,9 @@
 
 A candidate string of one character class is slid over with a window whose symbol counts change by one in
 and one out; the sum of c log2 c over counts c follows by two table look-ups, so entropy costs constant
-time a step. Windows above the class's threshold join to spans; an allow list drops strings that are
-random-looking but harmless.
+time a step. Windows above the class's threshold join to spans; strings too short for the window get a
+shorter one, and the same share of its greatest entropy. An allow list drops strings that are random-looking
+but harmless.
 """
 
 from __future__ import annotations
@@ -20,16 +21,17 @@ from .shared import spread, text_batches
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "entropy")
 WINDOW = 24
+SHORT = 12
 _ASSIGN = re.compile(
     r"""(?:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     re.IGNORECASE | re.ASCII,
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: class -> (candidate pattern, least entropy in bits of a window)
+#: class -> (candidate pattern, least entropy in bits of a window of WINDOW); an = before a candidate, or between it and more, assigns
 CLASSES = {
-    "hex": (re.compile(r"(?<![A-Za-z0-9])[0-9A-F]{24,}(?![A-Za-z0-9])"), 3.0),
-    "base64": (re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/=_-])"), 4.0),
+    "hex": (re.compile(r"(?<![A-Za-z0-9])[0-9A-F]{12,}(?![A-Za-z0-9])"), 3.0),
+    "base64": (re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+(?:={1,2}(?![A-Za-z0-9+/=_-]))?"), 4.0),
 }
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUID
@@ -38,8 +40,11 @@ ALLOW = (
     re.compile(r"[0-9/_+-]+"),  # numbers and dates: no letter
     re.compile(r".*(?:example|sample|placeholder|xxxx).*", re.IGNORECASE),
 )
+#: of candidates below WINDOW characters also names and dates: each part a word, a number, or both in one change
+ALLOW_SHORT = (*ALLOW, re.compile(r"(?:(?:[A-Za-z]++[0-9]*+|[0-9]++[A-Za-z]*+)?[/_+-])*+(?:[A-Za-z]++[0-9]*+|[0-9]++[A-Za-z]*+)?"))
 _CLOGC = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
-_LONG = re.compile(r"[A-Za-z0-9+/_=-]{24}")
+_SHARE = math.log2(SHORT) / math.log2(WINDOW)
+_LONG = re.compile(r"[A-Za-z0-9+/_-]{12}")
 
 
 def entropy_runs(text: str, least: float, window: int = WINDOW):
@@ -86,9 +91,12 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     more, taken = [], [(a, b) for _, a, b in base]
     for pattern, least in CLASSES.values():
         for m in pattern.finditer(text):
-            if any(a.fullmatch(m[0]) for a in ALLOW):
+            bare = m[0].rstrip("=")
+            short = len(bare) < WINDOW
+            if any(a.fullmatch(bare) for a in ALLOW_SHORT) if short else any(a.fullmatch(m[0]) for a in ALLOW):
                 continue
-            for a, b in entropy_runs(m[0], least):
+            runs = entropy_runs(bare, least * _SHARE, SHORT) if short else entropy_runs(m[0], least)
+            for a, b in runs:
                 a, b = a + m.start(), b + m.start()
                 if all(b <= x or a >= y for x, y in taken):
                     more.append(("entropy", a, b))

@@ -97,6 +97,20 @@ def test_added_spans():
     assert [s[0] for s in secrets.find(t)] == ["entropy", "hex"]
 
 
+def test_entropy_after_equals_and_in_short_strings():
+    long_, short = "wJalrXUtnFEMI7K7MDENGbPxRfiCYzz9Qk2", "x7Kq9Lm2Zt4w"
+    for value in (long_, short, long_ + "==", "A7F09C3E51BD", "Zk3vQ8pL1nXw5RtY7bHs2Dc"):
+        bare = value.rstrip("=")
+        for before, after in (("AUTH=", ""), ("GH_PAT=", "\n"), ("https://h/p?a=1&sig=", "&z"), ('x="', '"'), ("AUTH: ", " "), ("k=", "=1")):
+            if after == "=1" and value != bare:
+                continue
+            (kind, a, b), = secrets.find(t := before + value + after)
+            assert kind == "entropy" and t[a:b].startswith(bare), t
+    for t in ("copyright2024", "k=covid-19-vaccine", "configuration=", "2024-01-15T10", "x=/2024/01/post-7", "NAME=x86_64-linux-gnu", "k=Zz1Zz1Zz1Zz1"):
+        assert secrets.find(t) == [], t
+    assert [s[0] for s in secrets.find(f"password={short} sig={short}")] == ["assign", "entropy"]
+
+
 def test_entropy_is_that_of_the_window():
     import math
     from collections import Counter
