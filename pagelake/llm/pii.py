@@ -34,7 +34,17 @@ _DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: where an account number can start, and as far as it can go
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))")
+_TOKEN_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
+#: length: countries whose account numbers have it
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_LENGTH = {c: n for n, countries in _IBAN_LENGTHS.items() for c in countries.split()}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile("[^0-9]+")
 #: kind -> (score of a confirmed span, words nearby that raise it, words that lower it)
@@ -80,6 +90,22 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str):
+    """Account numbers that pass mod-97: of the country's length or the longest, elsewhere the longest that passes."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < done:
+            continue
+        ends = [e.end() for e in _TOKEN_END.finditer(text, m.start(), m.end(1) + 1) if e.end() <= m.end(1)]
+        codes = {end: text[m.start() : end].replace(" ", "") for end in reversed(ends)}
+        tried = [end for end, code in codes.items() if len(code) >= 15]
+        if known := _IBAN_LENGTH.get(text[m.start() : m.start() + 2]):
+            tried = [end for end in tried if len(codes[end]) == known] + tried[:1]
+        if end := next((end for end in tried if mod97(codes[end])), None):
+            yield m.start(), end
+            done = end
+
+
 def _octets(address: str) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in address.split("."))
 
@@ -109,7 +135,7 @@ def more_spans(text: str) -> list[tuple[str, int, int]]:
     """Account numbers that pass mod-97 and social-security patterns; these need the score."""
     if not _DIGIT.search(text):
         return []
-    out = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    out = [("iban", *s) for s in _ibans(text)]
     return out + [("ssn", *m.span()) for m in _SSN.finditer(text)]
 
 

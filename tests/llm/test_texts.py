@@ -97,6 +97,18 @@ def test_added_spans():
     assert [s[0] for s in secrets.find(t)] == ["entropy", "hex"]
 
 
+def test_iban_before_capitals_and_numbers():
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    other = "ZZ" + next(f"{k:02d}" for k in range(98) if pii.mod97(f"ZZ{k:02d}12345678901")) + "12345678901"  # of no country
+    for code in (german, british, other, "NO9386011117947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for before in ("", "AB12 CDEF 3456 7890 ", "IBAN "):
+            for after in ("", " BIC COBADEFF", " 12 times", " USD 500", " EUR", " Bank", ", 7", " " + german):
+                t = before + code + after
+                want = [code] + [german] * after.endswith(german)
+                assert [t[s.start : s.end] for s in pii.find(t) if s.kind == "iban"] == want, t
+    assert pii.find(german[:-1] + "1 BIC COBADEFF") == []
+
+
 def test_entropy_after_equals_and_in_short_strings():
     long_, short = "wJalrXUtnFEMI7K7MDENGbPxRfiCYzz9Qk2", "x7Kq9Lm2Zt4w"
     for value in (long_, short, long_ + "==", "A7F09C3E51BD", "Zk3vQ8pL1nXw5RtY7bHs2Dc"):
