@@ -7,11 +7,14 @@ pages that a rule allows. Only URLs that have such an edge enter the component r
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.url_join import _clean, _dots
+from ..operators.dom import _attribute
 from .components import components
 from .shared import written
 
@@ -64,6 +67,39 @@ def _key(url: Column) -> Column:
     return F.concat(scheme, F.lit("://"), host_of(bare), F.regexp_extract(_rest(bare), r"(?s)^[^/?#]*(.*)$", 1))
 
 
+_PARTS = re.compile(r"([^/?#]*)([^?#]*)(\?[^#]*)?", re.DOTALL)
+_ABSOLUTE = re.compile(r"(https?:)?//([^/?#]*)([^?#]*)", re.DOTALL | re.IGNORECASE)
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+
+
+def resolved(url: str, hrefs: list[str]) -> list[str]:
+    """Hrefs as HTML writes them as URLs: entities, base and dot segments as browsers take them, all else as written."""
+    scheme, _, rest = url.partition("://")
+    host, base, query = _PARTS.match(rest).groups("")
+    out = []
+    for href in map(_clean, map(_attribute, hrefs)):
+        if not href:
+            continue
+        slashed = href.replace("\\", "/")
+        if m := _ABSOLUTE.match(slashed):
+            path = _dots(m[3]) if m[3] else ""
+            out.append(f"{m[1] or scheme + ':'}//{m[2]}{path}{href[m.end() :]}")
+            continue
+        if _SCHEME.match(href):
+            out.append(href)
+            continue
+        path = re.match(r"[^?#]*", slashed)[0]
+        tail = href[len(path) :]
+        if path:
+            path = _dots(path if path.startswith("/") else (base[: base.rfind("/") + 1] or "/") + path)
+        elif tail.startswith("?"):
+            path = base or "/"
+        else:
+            path, tail = base, query + tail
+        out.append(f"{scheme}://{host}{path}{tail}")
+    return out
+
+
 def _targets(url: Column, html: Column) -> Column:
     """Absolute URLs that a page's canonical links and refresh redirects name."""
     tags = F.regexp_extract_all(html, F.lit(_TAGS), F.lit(0))
@@ -73,17 +109,7 @@ def _targets(url: Column, html: Column) -> Column:
         F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
         F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)),
     )
-    scheme, host = F.substring_index(url, "://", 1), host_of(url)
-    base = F.regexp_extract(path_of(url), r"(?s)^(.*/)?", 1)
-    base = F.when(base == "", F.lit("/")).otherwise(base)
-    joined = F.transform(
-        F.filter(hrefs, lambda h: h != ""),
-        lambda h: F.when(h.contains("://"), h)
-        .when(F.startswith(h, F.lit("//")), F.concat(scheme, F.lit(":"), h))
-        .when(F.startswith(h, F.lit("/")), F.concat(scheme, F.lit("://"), host, h))
-        .otherwise(F.concat(scheme, F.lit("://"), host, base, h)),
-    )
-    return F.coalesce(joined, F.array().cast("array<string>"))
+    return F.coalesce(F.udf(lambda u, h: resolved(u, h), "array<string>").asNondeterministic()(url, hrefs), F.array().cast("array<string>"))
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:

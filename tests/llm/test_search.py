@@ -175,6 +175,22 @@ def test_url_redirects_and_odd_rows(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_targets_are_resolved(spark):
+    base = "http://a.net/q/r/s?old=1"
+    want = {
+        "/x?a=1&amp;b=2": "http://a.net/x?a=1&b=2", "../../x?a=1&amp;b=2": "http://a.net/x?a=1&b=2", "?page=2": "http://a.net/q/r/s?page=2",
+        "./t": "http://a.net/q/r/t", "..": "http://a.net/q/", "/a/./b/../c": "http://a.net/a/c", "//b.com/../y": "http://b.com/y", "https://b.com/z/../y?c=/../": "https://b.com/y?c=/../", "ftp://x/..": "ftp://x/..", "#f": base + "#f",
+        "http://b.com/é?u=1&copy=2": "http://b.com/é?u=1&copy=2", "t?to=http://z/&#38;k": "http://a.net/q/r/t?to=http://z/&k", "../../../../é": "http://a.net/é",
+    }
+    assert dict(zip(want, url_filter.resolved(base, list(want)))) == want
+    assert url_filter.resolved("http://b.com", ["?x", "y", ""]) == ["http://b.com/?x", "http://b.com/y"]
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [(1, "http://a.net/x?a=1&b=2", link("http://b.com/de/1")), (2, "http://c.net/", link("http://a.net/x?a=1&amp;b=2")), (3, "http://a.net/q/r/s", link("../../x?a=1&amp;b=2")),
+            (4, "http://a.net/x", link("?a=1&amp;b=2")), (5, "http://a.net/z", link("?a=1"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(df).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
