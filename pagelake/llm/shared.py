@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +89,43 @@ def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], n: str, tot
     return rows.join(hot, keys).unionByName(cold.join(rest, keys))
 
 
+#: Bits of the filter that tells which rows may have to move: 4 MB at every size of the input.
+FILTER_BITS = 1 << 25
+_CHUNK_BITS = 1 << 15
+
+
+def split_by(rows: DataFrame, key: str, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose BIGINT ``key`` may be among the keys of ``moved`` (one column), and those whose key surely isn't.
+
+    A Bloom filter of FILTER_BITS bits, built by a bitmap aggregate and broadcast, decides in place: what it clears needs no shuffle.
+    It never misses a key. When ``moved`` outgrows it, more rows count as maybe, and the caller's exact join takes them all.
+    """
+    k = F.col(moved.columns[0])
+    spots = F.array(*(F.shiftrightunsigned(k, n).bitwiseAND(F.lit(FILTER_BITS - 1)) for n in (0, 32)))
+    bits = moved.select(F.explode(spots).alias("_spot"))
+    chunks = bits.groupBy(F.shiftright("_spot", 15).alias("chunk")).agg(F.bitmap_construct_agg(F.col("_spot") % _CHUNK_BITS).alias("bits"))
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for at, piece in chunks.collect():  # at most FILTER_BITS / 2^15 rows of 4 KB
+        table[at * _CHUNK_BITS // 8 : (at + 1) * _CHUNK_BITS // 8] = np.frombuffer(piece, np.uint8)
+    shipped = rows.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    @F.arrow_udf("boolean")
+    def may(keys: pa.Array) -> pa.Array:
+        bits, x = np.frombuffer(shipped.value, np.uint8), keys.to_numpy(zero_copy_only=False).view(np.uint64)
+        hit = np.ones(len(x), bool)
+        for n in (0, 32):
+            spot = (x >> np.uint64(n)) & np.uint64(FILTER_BITS - 1)
+            hit &= (bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return pa.array(hit)
+
+    return rows.where(may(F.col(key))), rows.where(~may(F.col(key)))
+
+
+def row_key(doc_id: Column | str, mark: Column | str) -> Column:
+    """A hash of a document's id and its text's hash."""
+    return F.xxhash64(doc_id, mark)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as BIGINT, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
