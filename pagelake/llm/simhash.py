@@ -3,10 +3,11 @@
 Fingerprints are first reduced to distinct values with their counts, so copies cost nothing later.
 For links of at most two differing bits the 64 bits are cut into three parts: two linked fingerprints
 agree on at least one, which routes every fingerprint to three groups. A group that is still large
-is cut again on its remaining bits, so no task ever holds an unbounded group. Inside a group,
-fingerprints sorted by Gray rank form an index: each leaf holds a few neighbours, each upper node
+is cut again on its remaining bits, so no task ever holds an unbounded group. Inside a group, of
+whatever size, fingerprints sorted by Gray rank form an index: each leaf holds a few neighbours, each upper node
 the bits that everything below it shares and its own parent lacks; a search adds up differences on
-the way down and drops a node once they exceed the limit. A pair that meets in several groups counts
+the way down and drops a node once they exceed the limit. All groups of a batch are one forest, searched
+together. Every link comes out of the index; a pair that meets in several groups counts
 in the first only, so links are found once and without loss.
 """
 
@@ -19,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import join_unique, spread, text_batches, written
+from .shared import join_unique, row_key, split_by, spread, text_batches, written
 
 SEED = 42
 LIMIT = 2
 GROUP = 8_192
 FRONTIER = 1 << 19
-LEAF, FAN = 16, 8
+LEAF, FAN = 4, 4
 FULL = (1 << 64) - 1
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -56,18 +57,29 @@ def fingerprint(text: str | None, shingle: int = 3, part: int = 1 << 17) -> int:
     return int.from_bytes(np.packbits((counts @ _BITS).ravel() * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and ``fp`` (the fingerprint as a signed BIGINT) of every document; map-only."""
+def fingerprints(docs: DataFrame, mark: str | None = None) -> DataFrame:
+    """doc_id and ``fp`` (the fingerprint as a signed BIGINT) of every document; map-only.
+
+    ``mark`` names a further column: the text's hash, as Spark's xxhash64 gives it.
+    """
 
     text_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps, marks = [], []
+            for t in b.column(1):
+                t = t.as_py()
+                fps.append(fingerprint(t))
+                if mark:
+                    marks.append(SEED if t is None else xxhash.xxh64_intdigest(t, SEED))
+            columns = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            if mark:
+                columns.append(pa.array(np.array(marks, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "mark"][: len(columns)])
 
     texts = spread(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")))
-    return texts.mapInArrow(run, "doc_id long, fp long")
+    return texts.mapInArrow(run, "doc_id long, fp long" + (f", {mark} long" if mark else ""))
 
 
 # routing
@@ -145,46 +157,64 @@ def _routed(distinct: DataFrame) -> DataFrame:
 
 
 class GrayIndex:
-    """Hierarchical index over fingerprints that are sorted by Gray rank."""
-
-    def __init__(self, fps: np.ndarray):
-        self.fps, n = fps, len(fps)
-        starts = np.arange(0, n, LEAF)
-        value, mask = np.bitwise_and.reduceat(fps, starts), np.bitwise_or.reduceat(fps, starts)
-        mask = ~(value ^ mask)
-        self.levels = [(value, mask, starts, np.minimum(starts + LEAF, n))]
-        while len(self.levels[-1][0]) > FAN:
-            v, m, _, ends = self.levels[-1]
-            s = np.arange(0, len(v), FAN)
-            both = np.bitwise_and.reduceat(m, s)
-            low, high = np.bitwise_and.reduceat(v, s), np.bitwise_or.reduceat(v, s)
-            e = np.minimum(s + FAN, len(v))
-            self.levels.append((low, both & ~(low ^ high), s, e))
-        self.last = []  # greatest fingerprint number below a node
-        for k, (_, _, _, e) in enumerate(self.levels):
-            self.last.append(e - 1 if k == 0 else self.last[k - 1][e - 1])
+    """Hierarchical index over fingerprints sorted by Gray rank inside each of many groups: a tree for each group.
+
+    ``first`` holds where each group starts. No node reaches over a group's edge; a group of few fingerprints is a tree
+    of one leaf. ``compared`` counts the fingerprints that searches reached at the bottom.
+    """
+
+    def __init__(self, fps: np.ndarray, first: np.ndarray | None = None):
+        self.fps, n, self.compared = fps, len(fps), 0
+        first = np.zeros(min(n, 1), np.int64) if first is None else np.asarray(first, np.int64)
+        self.sizes = np.diff(np.append(first, n))
+        starts, self.levels, width = self._cut(first, self.sizes, LEAF), [], LEAF
+        ends = np.append(starts[1:], n)
+        low, high = np.bitwise_and.reduceat(fps, starts), np.bitwise_or.reduceat(fps, starts)
+        self.levels.append((low, ~(low ^ high), starts, ends, ends - 1))
+        roots, count = first, self.sizes  # of nodes one level down
+        while True:
+            count = -(-count // width)
+            roots = np.cumsum(count) - count
+            if (count <= 1).all():
+                break
+            v, m, _, _, last = self.levels[-1]
+            s = self._cut(roots, count, FAN)
+            e = np.append(s[1:], len(v))
+            low, high, both = np.bitwise_and.reduceat(v, s), np.bitwise_or.reduceat(v, s), np.bitwise_and.reduceat(m, s)
+            self.levels.append((low, both & ~(low ^ high), s, e, last[e - 1]))
+            width = FAN
+        self.root = np.repeat(np.arange(len(first)), self.sizes)  # a fingerprint's topmost node
+
+    @staticmethod
+    def _cut(first: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+        """Starts of nodes of ``width`` members that begin anew with each group."""
+        parts = -(-sizes // width)
+        place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        return np.repeat(first, parts) + place * width
 
     def pairs(self, limit: int = LIMIT):
-        """Yields (i, j), i < j, of all pairs within ``limit`` bits; a block of queries fills at most FRONTIER places."""
-        block = max(1, FRONTIER // len(self.fps))
-        for a in range(0, len(self.fps), block):
-            q = np.arange(a, min(a + block, len(self.fps)))
-            top = len(self.levels) - 1
-            value, mask, _, _ = self.levels[top]
-            query, node = np.repeat(q, len(value)), np.tile(np.arange(len(value)), len(q))
-            above = np.zeros(len(query), np.uint64)
-            diff = np.zeros(len(query), np.int64)
-            for k in range(top, -1, -1):
-                value, mask, starts, ends = self.levels[k]
+        """Yields (i, j), i < j, of all pairs of a group within ``limit`` bits; the queries of a block have at most FRONTIER places."""
+        if not len(self.fps):
+            return
+        reach = np.cumsum(self.sizes.repeat(self.sizes))
+        a = 0
+        while a < len(self.fps):
+            z = max(a + 1, int(np.searchsorted(reach, (reach[a - 1] if a else 0) + FRONTIER, "right")))
+            query = np.arange(a, z)
+            a = z
+            node = self.root[query]
+            above, diff = np.zeros(len(query), np.uint64), np.zeros(len(query), np.int64)
+            for value, mask, starts, ends, last in reversed(self.levels):
                 new = mask[node] & ~above
                 diff = diff + np.bitwise_count((self.fps[query] ^ value[node]) & new)
-                keep = (diff <= limit) & (self.last[k][node] > query)
+                keep = (diff <= limit) & (last[node] > query)
                 query, node, diff = query[keep], node[keep], diff[keep]
                 above = mask[node]
                 sizes = ends[node] - starts[node]
                 child = np.repeat(starts[node] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
                 query, diff, above = np.repeat(query, sizes), np.repeat(diff, sizes), np.repeat(above, sizes)
                 node = child
+            self.compared += len(node)
             near = (node > query) & (np.bitwise_count(self.fps[query] ^ self.fps[node]) <= limit)
             yield query[near], node[near]
 
@@ -192,20 +222,7 @@ class GrayIndex:
 def _group_pairs(path: np.ndarray, key: np.ndarray, fps: np.ndarray):
     """Yields (i, j) of near pairs inside the (path, key) groups of rows sorted by path, key, Gray rank."""
     new = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (key[1:] != key[:-1])]))
-    sizes = np.diff(np.append(new, len(path)))
-    small = np.flatnonzero((sizes > 1) & (sizes <= LEAF))
-    rows = np.repeat(new[small] - np.cumsum(sizes[small]) + sizes[small], sizes[small]) + np.arange(sizes[small].sum())
-    group = np.repeat(small, sizes[small])
-    for d in range(1, LEAF):  # one leaf each: neighbours at distance d, all groups together
-        if len(rows) <= d or not (same := group[d:] == group[:-d]).any():
-            break
-        i, j = rows[:-d][same], rows[d:][same]
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= LIMIT
-        yield i[near], j[near]
-    for g in np.flatnonzero(sizes > LEAF):
-        a = new[g]
-        for i, j in GrayIndex(fps[a : a + sizes[g]]).pairs():
-            yield i + a, j + a
+    yield from GrayIndex(fps, new).pairs()
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -250,15 +267,8 @@ def links(distinct: DataFrame) -> DataFrame:
     return spread.select("path", "key", "fp", "n").mapInArrow(run, "a long, b long, n_a long, n_b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), n_near and component_id of every document.
-
-    n_near counts the other rows within two bits; component_id is the smallest doc_id reachable over
-    such links. Null and empty texts have fingerprint zero and are linked like any other; rows without
-    a doc_id take part, but give no component its name (null where none has one); repeated rows are
-    near one another; an empty table gives an empty result; other columns are ignored.
-    """
-    marked = written(fingerprints(docs), "fingerprints")
+def _facts(marked: DataFrame) -> DataFrame:
+    """(fp, n, n_near, component_id, component) of each fingerprint among rows (doc_id, fp); n counts its rows."""
     distinct = written(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), "distinct")
     edges = written(links(distinct.select("fp", "n")), "links")
     around = (
@@ -268,29 +278,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     roots = components(edges.select("a", "b"))
     known = distinct.join(around, "fp", "left").join(roots, distinct["fp"] == roots["node"], "left")
-    known = known.select("fp", "n", "low", "m", F.coalesce("root", "fp").alias("root"))
-    names = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    facts = written(
-        known.join(names, "root").select(
-            "fp", "n", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_near"), "component_id"
-        ),
-        "facts",
-    )
+    known = written(known.select("fp", "n", "low", "m", F.coalesce("root", "fp").alias("root")), "known")
+    names = known.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size"))
+    named = join_unique(known, names, ["root"], "size", known.count())
+    near = F.col("n") - 1 + F.coalesce("m", F.lit(0))
+    return written(named.select("fp", "n", near.alias("n_near"), "component_id", F.col("root").alias("component")), "facts")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), n_near and component_id of every document.
+
+    n_near counts the other rows within two bits; component_id is the smallest doc_id reachable over
+    such links. Null and empty texts have fingerprint zero and are linked like any other; rows without
+    a doc_id take part, but give no component its name (null where none has one); repeated rows are
+    near one another; an empty table gives an empty result; other columns are ignored.
+    """
+    marked = written(fingerprints(docs), "fingerprints")
+    facts = _facts(marked).drop("component")
     return join_unique(marked, facts, ["fp"], "n", marked.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id"
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component, the one of smallest doc_id.
+    """``docs`` with one row of each near-duplicate component: that of smallest doc_id (nulls last), then least text hash.
 
-    Rows that repeat the kept doc_id count as that document and stay once; rows without a doc_id
-    can't be told apart and all stay.
+    Rows are told apart by doc_id and text, so different texts under one doc_id are judged each by its own component. Of
+    rows that repeat both, one stays, the one whose columns hash least. Only rows that may go are shuffled with their texts: a Bloom
+    filter of fixed size, over the ids and hashes of rows that aren't kept or repeat, lets the others pass where they are.
     """
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    marked = written(fingerprints(docs, "mark"), "fingerprints")
+    facts = _facts(marked).select("fp", F.col("n").alias("held"), "component")
+    rooted = join_unique(marked, facts, ["fp"], "held", marked.count())
+    rows = written(rooted.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("n")), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    first = rows.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("held"))
+    judged = join_unique(rows, first, ["component"], "held", rows.count()).withColumn("stays", place == F.col("first"))
+    judged = written(judged.select("doc_id", "mark", "n", "stays"), "judged")
+
+    moved = judged.where("not stays or n > 1").select(row_key("doc_id", "mark"))
+    packed = docs.select(
+        F.struct(*docs.columns).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(docs["text"].cast("string")).alias("_hash")
+    ).withColumn("_key", row_key("_doc", "_hash"))
+    maybe, clear = split_by(packed, "_key", moved)
+    kept = judged.where("stays").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"))
+    one = maybe.join(kept, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_m")), "left_semi")
+    one = one.groupBy("_doc", "_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return clear.select("_row.*").unionByName(one.select("_row.*"))
 
 
 def query(spark, sf_dir):
