@@ -1,10 +1,14 @@
 """Exact top-k inner-product search by distributed histogram selection.
 
-Queries and candidates are packed into blocks; each block of candidates is scored against each block of
-queries (a stated query set against all rows) by one matrix product, exact in double precision. A pass
-counts scores in a histogram per query, from the top down to where the block alone holds k, so a block sends at most k counts a query;
-the summed histograms tell which bin holds a query's kth score, and the next pass splits only that bin, until a bin is a single integer. The
+Queries and candidates are packed into blocks of rows; every candidate block is scored against every query block of its
+length (a stated query set against all rows) by matrix products, exact in double precision. A pass counts every score inside a query's range in
+a histogram of ``BINS`` bins: the first range holds all scores there can be, by Cauchy and Schwarz. A task adds up the histograms of all its candidate
+blocks and sends them from the top down to where it alone has counted k, since no lower bin can hold the kth score. The
+summed histograms tell which bin holds a query's kth score, and the next pass counts the scores of that bin in finer ones, until a bin is a single integer. The
 last pass keeps what lies above the kth score and, of the ties at it, the k smallest ids of each block.
+
+A task is a cell of a grid: one query block, whose histograms it holds, and one of several shares of the candidate blocks, which
+it streams. So a query block is copied to few shares and a candidate block once for each ``QUERY_BLOCK`` queries.
 """
 
 from __future__ import annotations
@@ -14,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop_written, text_batches, written
 
 K = 10
 EVERY = 100
 SCALE = 1024
-BINS = 4096
-QUERY_BLOCK, ROW_BLOCK, AT_ONCE = 4_096, 8_192, 256
+BINS = 2048
+QUERY_BLOCK, ROW_BLOCK, AT_ONCE = 16_384, 1_024, 256
+EXACT = float(1 << 53)
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -31,17 +36,21 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return vectors.where(F.col("embedding").isNotNull() & ~bad).select(F.col("vec_id").cast("long"), whole.alias("v"))
 
 
-def _packed(rows: DataFrame, size: int, name: str, n: int) -> DataFrame:
-    """Rows as blocks (``name``, d, ids, data) of about ``size`` vectors of one length."""
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """Rows as blocks (block, d, ids, data) of about ``size`` vectors of one length; data in single precision where that is exact."""
 
     def run(batches):
         held: dict[int, tuple[list, list]] = {}
 
         def block(d):
             ids, data = held.pop(d)
+            x = np.concatenate(data)
+            with np.errstate(over="ignore"):
+                short = x.astype(np.float32)
+            if (short == x).all():
+                x = short
             return pa.RecordBatch.from_arrays(
-                [pa.array([d]), pa.array([np.concatenate(ids).tobytes()]), pa.array([np.concatenate(data).tobytes()])],
-                ["d", "ids", "data"],
+                [pa.array([d]), pa.array([np.concatenate(ids).tobytes()]), pa.array([x.tobytes()])], ["d", "ids", "data"]
             )
 
         for b in batches:
@@ -62,25 +71,13 @@ def _packed(rows: DataFrame, size: int, name: str, n: int) -> DataFrame:
             yield block(d)
 
     packed = rows.select("vec_id", "v").mapInArrow(run, "d long, ids binary, data binary")
-    return written(packed.withColumn(name, F.monotonically_increasing_id()), "blocks")
-
-
-def _blocks(batch, prefix):
-    ids = np.frombuffer(batch[f"{prefix}_ids"], np.int64)
-    return ids, np.frombuffer(batch[f"{prefix}_data"], np.float64).reshape(len(ids), -1)
+    return written(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
-def _scores(row):
-    """Yields (query ids, candidate ids, scores, low, width) for AT_ONCE queries of a pair of blocks at a time."""
-    qids, q = _blocks(row, "q")
-    cids, c = _blocks(row, "c")
-    of = {r["query_id"]: (r["low"], r["width"]) for r in row["ranges"]}
-    for a in range(0, len(qids), AT_ONCE):
-        some = qids[a : a + AT_ONCE]
-        s = q[a : a + AT_ONCE] @ c.T
-        s[some[:, None] == cids[None, :]] = -np.inf
-        range_ = np.array([of.get(i, (np.inf, 1.0)) for i in some.tolist()])
-        yield some, cids, s, range_[:, 0], range_[:, 1]
+def _vectors(ids: bytes, data: bytes, d: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, np.int64)
+    kind = np.float32 if len(data) == 4 * d * len(ids) else np.float64
+    return ids, np.frombuffer(data, kind).astype(np.float64).reshape(len(ids), d)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -91,14 +88,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     components, and rows without a vec_id, take no part; vectors of another length than the query's aren't
     its candidates; a vec_id that repeats is a candidate as often as it occurs (as a query it counts
     once, by its largest vector in array order); empty tables give an empty result; other columns are ignored.
+    Scores beyond 2^53 aren't exact in double precision: vectors that long raise a ValueError.
     """
     spark = vectors.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text_batches(spark)
     rows = quantised(vectors, scale).where("vec_id is not null")
-    asked = quantised(queries, scale).where("vec_id is not null").groupBy("vec_id").agg(F.max("v").alias("v"))
-    c = _packed(rows, ROW_BLOCK, "c_block", n).toDF("c_d", "c_ids", "c_data", "c_block")
-    q = _packed(asked, QUERY_BLOCK, "q_block", n).toDF("q_d", "q_ids", "q_data", "q_block")
-    c = c.withColumn("salt", F.pmod(F.xxhash64("c_block"), F.lit(n)))
+    asked = written(quantised(queries, scale).where("vec_id is not null").groupBy("vec_id").agg(F.max("v").alias("v")), "asked")
+    c, q = _packed(rows, ROW_BLOCK), _packed(asked, QUERY_BLOCK)
 
     # a first range from the norms, by Cauchy and Schwarz
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
@@ -116,7 +112,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
         widest = state.agg(F.max("width")).first()[0]
         if widest is None or widest <= 1:
             break
-        counts = _tasks(q, c, state, n).mapInArrow(_histogram(k), "query_id long, bin long, n long, step double")
+        if widest >= EXACT:
+            raise ValueError("vectors are too long for exact scores")
+        counts = _cells(q, c, state).mapInArrow(_histogram(k), "query_id long, bin long, n long, step double")
         sums = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"), F.max("step").alias("step"))
         down = Window.partitionBy("query_id").orderBy(F.col("bin").desc())
         run = sums.withColumn("upto", F.sum("n").over(down)).join(state, "query_id")
@@ -126,33 +124,40 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
             F.max(F.when(F.col("upto") >= k, F.struct("bin", "upto", "n", "low", "step"))).alias("hit"),
             F.min(F.struct("bin", "upto", "n", "low", "step")).alias("end"),
         ).select("query_id", F.coalesce("hit", "end").alias("x"))
-        state = written(
+        finer = written(
             last.select(
                 "query_id", (F.col("x.low") + F.col("x.bin") * F.col("x.step")).alias("low"),
                 F.col("x.step").alias("width"), (F.col("x.upto") - F.col("x.n")).alias("above"),
             ),
             "ranges",
         )
-    found = _tasks(q, c, state, n).mapInArrow(_chosen(k), "query_id long, vec_id long, score long")
+        drop_written(state)
+        state = finer
+    found = _cells(q, c, state).mapInArrow(_chosen(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
 
 
-def _tasks(q: DataFrame, c: DataFrame, state: DataFrame, n: int) -> DataFrame:
-    """Every block of queries, with its queries' ranges, beside every block of rows of its length.
-
-    Row blocks are dealt out by a salt and query blocks go to every salt, so no key holds more than its share.
-    """
-    member = _unpacked(q.select("q_block", F.col("q_ids").alias("ids")))
-    mine = member.join(state, "query_id").groupBy("q_block").agg(
+def _cells(q: DataFrame, c: DataFrame, state: DataFrame) -> DataFrame:
+    """(cell, share, d, ids, data, ranges): in each cell a query block, with its queries' ranges, then a share of the row blocks of its length."""
+    member = _unpacked(q.select("block", "ids"))
+    mine = member.join(state, "query_id").groupBy("block").agg(
         F.collect_list(F.struct("query_id", "low", "width")).alias("ranges")  # as bounded as the block
     )
-    asked = written(q.join(mine, "q_block"), "asked")
-    dealt = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    pairs = dealt.join(c, (F.col("q_d") == F.col("c_d")) & (dealt["salt"] == c["salt"]))
-    return pairs.select("q_ids", "q_data", "c_ids", "c_data", "ranges")
+    asked = q.join(mine, "block").withColumnRenamed("block", "cell")
+    spark = q.sparkSession
+    shares = max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, q.count())))
+    asked = asked.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    # one row for every QUERY_BLOCK queries
+    cells = q.select(F.col("block").alias("cell"), F.col("d").alias("_d"))
+    dealt = c.join(cells, F.col("d") == F.col("_d")).withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares)))
+    none = F.lit(None).cast(mine.schema["ranges"].dataType)
+    names = ["cell", "share", "d", "ids", "data", "ranges"]
+    both = asked.select(*names).unionByName(dealt.withColumn("ranges", none).select(*names))
+    order = F.col("ranges").isNull()
+    return both.repartition("cell", "share").sortWithinPartitions("cell", "share", order)
 
 
 def _unpacked(blocks: DataFrame) -> DataFrame:
@@ -160,44 +165,91 @@ def _unpacked(blocks: DataFrame) -> DataFrame:
         for b in batches:
             for block, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = np.frombuffer(ids, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), block)), pa.array(ids)], ["q_block", "query_id"]
-                )
-
-    return blocks.mapInArrow(run, "q_block long, query_id long")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block)), pa.array(ids)], ["block", "query_id"])
+
+    return blocks.mapInArrow(run, "block long, query_id long")
+
+
+class _Cell:
+    """A query block with its ranges; queries without a range are left out."""
+
+    def __init__(self, row):
+        ids, x = _vectors(row["ids"], row["data"], row["d"])
+        of = {r["query_id"]: (r["low"], r["width"]) for r in row["ranges"]}
+        mine = np.array([i in of for i in ids.tolist()], bool)
+        self.ids, self.x = ids[mine], x[mine]
+        ranges = np.array([of[i] for i in self.ids.tolist()]).reshape(-1, 2)
+        self.low, self.width = ranges[:, 0], ranges[:, 1]
+        self.step = np.maximum(1.0, np.ceil(self.width / BINS))
+        self.counts = None
+
+    def scores(self, row):
+        """Yields (first query, candidate ids, scores) for AT_ONCE queries at a time; a query's own rows score minus infinity."""
+        cids, x = _vectors(row["ids"], row["data"], row["d"])
+        for a in range(0, len(self.ids), AT_ONCE):
+            s = self.x[a : a + AT_ONCE] @ x.T
+            s[self.ids[a : a + AT_ONCE, None] == cids[None, :]] = -np.inf
+            yield a, cids, s
+
+    def count(self, row):
+        if self.counts is None:
+            self.counts = np.zeros((len(self.ids), BINS), np.int64)
+        for a, _, s in self.scores(row):
+            z = a + len(s)
+            inside = (s >= self.low[a:z, None]) & (s < (self.low + self.width)[a:z, None])
+            which, at = np.nonzero(inside)
+            bins = ((s[which, at] - self.low[a + which]) / self.step[a + which]).astype(np.int64)
+            self.counts[a:z] += np.bincount(which * BINS + bins, minlength=len(s) * BINS).reshape(len(s), BINS)
+
+    def sent(self, k: int):
+        """The histograms as rows, down to the bin at which k are counted."""
+        if self.counts is None or not len(self.ids):
+            return None
+        down = self.counts[:, ::-1].cumsum(axis=1)[:, ::-1]
+        which, bins = np.nonzero((self.counts > 0) & (down - self.counts < k))
+        cols = [self.ids[which], bins, self.counts[which, bins], self.step[which]]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["query_id", "bin", "n", "step"])
+
+
+def _rows(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def _histogram(k: int):
     def run(batches):
-        for batch in batches:
-            for qids, _, s, low, width in (x for row in batch.to_pylist() for x in _scores(row)):
-                step = np.maximum(1.0, np.ceil(width / BINS))
-                inside = (s >= low[:, None]) & (s < (low + width)[:, None])
-                s[~inside] = -np.inf
-                if s.shape[1] > k:  # lower scores can't be among the k best
-                    s = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :]
-                which, at = np.nonzero(np.isfinite(s))
-                bins = np.floor((s[which, at] - low[which]) / step[which]).astype(np.int64)
-                (which, bins), n = np.unique(np.stack([which, bins]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[which]), pa.array(bins), pa.array(n.astype(np.int64)), pa.array(step[which])],
-                    ["query_id", "bin", "n", "step"],
-                )
+        cell = None
+        for row in _rows(batches):
+            if row["ranges"] is None:
+                if cell is not None and at == (row["cell"], row["share"]):
+                    cell.count(row)
+                continue
+            if cell is not None and (out := cell.sent(k)) is not None:
+                yield out
+            cell, at = _Cell(row), (row["cell"], row["share"])
+        if cell is not None and (out := cell.sent(k)) is not None:
+            yield out
 
     return run
 
 
 def _chosen(k: int):
     def run(batches):
-        for batch in batches:
-            for qids, cids, s, low, _ in (x for row in batch.to_pylist() for x in _scores(row)):
-                out = []
-                for i in range(len(qids)):
-                    hit = np.flatnonzero((s[i] >= low[i]) & np.isfinite(s[i]))
-                    best = hit[np.lexsort((cids[hit], -s[i][hit]))][:k]
-                    out.append((np.full(len(best), qids[i]), cids[best], s[i][best].astype(np.int64)))
-                cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["query_id", "vec_id", "score"])
+        cell = None
+        for row in _rows(batches):
+            if row["ranges"] is not None:
+                cell, at = _Cell(row), (row["cell"], row["share"])
+            elif cell is not None and at == (row["cell"], row["share"]):
+                for a, cids, s in cell.scores(row):
+                    which, col = np.nonzero((s >= cell.low[a : a + len(s), None]) & np.isfinite(s))
+                    score = s[which, col].astype(np.int64)
+                    order = np.lexsort((cids[col], -score, which))
+                    which, col, score = which[order], col[order], score[order]
+                    turn = np.arange(len(which)) - np.searchsorted(which, which)
+                    keep = turn < k
+                    cols = [cell.ids[a + which[keep]], cids[col[keep]], score[keep]]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["query_id", "vec_id", "score"])
 
     return run
 
