@@ -12,10 +12,11 @@ holds a third of all rows is still many small windows; sources are ranked by a r
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import word_count, written
+from .shared import HOT_KEYS, join_unique, word_count, written
 
 BUCKET_DOCS = 20_000
 WEIGHTS = (5, 2, 1)
@@ -94,39 +95,32 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: float = 3.0, carry:
     sized = written(base.drop("_row"), "sizes")
     if not carry:
         base = sized
-    targets = source_targets(sized, weights, tilts, cap)
+    # sources by a key that is never null, so that a hot one can be joined by broadcast
+    named = lambda df: df.withColumn("_s", F.coalesce(F.concat(F.lit("="), "_source"), F.lit("")))
+    targets, total_docs = named(source_targets(sized, weights, tilts, cap)).drop("_source"), sized.count()
+    targets = targets.withColumn("_held", F.col("_docs"))
+    few = targets.count() <= HOT_KEYS
+
+    def aimed(rows):
+        rows = named(rows).drop("_source")
+        return rows.join(F.broadcast(targets.drop("_held")), "_s") if few else join_unique(rows, targets, ["_s"], "_held", total_docs)
+
     unit = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / float(1 << 32)
     parts = F.greatest(F.lit(1), F.ceil(F.col("_docs") / BUCKET_DOCS))
-    placed = (
-        base.withColumnRenamed("_source", "_s")
-        .join(targets, F.col("_s").eqNullSafe(F.col("_source")))
-        .withColumn("_bucket", F.floor(unit * parts).cast("long"))
-        .drop("_s", "_docs")
-    )
-    sums = (
-        sized.withColumnRenamed("_source", "_s")
-        .join(targets, F.col("_s").eqNullSafe(F.col("_source")))
-        .withColumn("_bucket", F.floor(unit * parts).cast("long"))
-        .groupBy("_source", "_bucket")
-        .agg(F.sum("_size").alias("_sum"))
-    )
+    bucket = F.floor(unit * parts).cast("long")
+    placed = aimed(base).withColumn("_bucket", bucket).drop("_docs")
+    sums = aimed(sized).withColumn("_bucket", bucket).groupBy("_s", "_bucket").agg(F.sum("_size").alias("_sum"))
     # one row for every BUCKET_DOCS documents of a source
-    over = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(
-        sums.select(
-            F.col("_source").alias("_s"), F.col("_bucket").alias("_b"),
-            F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_start"),
-        ),
-        "starts",
-    )
+    over = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(sums.select("_s", "_bucket", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_start")), "starts")
     inner = (
-        Window.partitionBy("_source", "_bucket").orderBy("_hash", "_doc", "_size")
+        Window.partitionBy("_s", "_bucket").orderBy("_hash", "_doc", "_size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     size, total, target = F.col("_size"), F.col("source_size"), F.col("target")
     room = (target - F.col("_before") - size * 0.5) / total
     out = (
-        placed.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+        placed.join(starts, ["_s", "_bucket"])
         .withColumn("_before", F.col("_start") + F.coalesce(F.sum("_size").over(inner), F.lit(0)))
         .withColumn("_copies", F.when(total > 0, F.greatest(F.ceil(room), F.lit(0))).otherwise(0).cast("long"))
     )
@@ -151,7 +145,10 @@ def position(due, target, tilt):
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
-    """``docs``' columns, each document as often as the mix takes it, range-sorted by position."""
+    """``docs``' columns, each document as often as the mix takes it, range-sorted by position.
+
+    The order is that of the rows: written, that of the files and of the rows in each (see :func:`training_place`).
+    """
     mixed = mix(docs, carry=True, **options)
     turn = mixed.where("_mix_copies > 0").withColumn(
         "_mix_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_copies") - 1))
@@ -161,6 +158,23 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     return turn.withColumn("_mix_at", at).orderBy("_mix_at", "_mix_doc_id", "_mix_turn").select(*docs.columns)
 
 
+def training_place(docs: DataFrame) -> DataFrame:
+    """``docs``' columns, then ``part`` and ``row`` (BIGINT): where a row stands among the files of the table it is read from.
+
+    For a table that was written from :func:`training_order`, sorting by (part, row) gives the training order again. Rows that
+    don't come straight from files have null in both. Columns of these names give way.
+    """
+    kept = [c for c in docs.columns if c not in ("part", "row")]
+    try:
+        placed = docs.select(*kept, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    except AnalysisException:
+        none = F.lit(None).cast("long")
+        return docs.select(*kept, none.alias("part"), none.alias("row"))
+    number = lambda mark: F.coalesce(F.regexp_extract("_file", rf"{mark}(\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
+    row = F.shiftleft(number(r"-c(?=\d+\.)"), 40) + F.col("_index")
+    return placed.select(*kept, number("^part-").alias("part"), row.alias("row"))
+
+
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
