@@ -61,9 +61,14 @@ def _compound(body):
             tests.append(_attr_test(m["attr"]))
 
     def match(n):
-        return (tag is None or n.tag == tag) and all(t(n) for t in tests)
+        if tag is not None and n.tag != tag:
+            return False
+        for t in tests:
+            if not t(n):
+                return False
+        return True
 
-    return tag, match
+    return tag, match if tests or tag is None else None
 
 
 def _complex(text):
@@ -75,8 +80,11 @@ def _complex(text):
         m = _PART.match(text, at)
         if not m or not m["body"] or m["comb"] in ("+", "~"):
             raise SelectorError(text)
-        parts.append((m["comb"] or " ", *_compound(m["body"])))
+        part_tag, match = _compound(m["body"])
+        parts.append((m["comb"] or " ", part_tag, match or (lambda n, t=part_tag: n.tag == t)))
         at = m.end()
+        if at == len(text) and len(parts) == 1 and parts[0][0] == " ":
+            return part_tag, match
     tag, last = parts[-1][1:]
 
     def up(n, k):
@@ -99,16 +107,23 @@ def _split(text):
 def compile_css(text: str):
     """A function (document, within) -> elements in document order."""
     options = [_complex(t) for t in _split(text)]
+    tagged = all(tag is not None for tag, _ in options)
 
     def select(doc: Document, within: Node | None = None):
-        if len(options) == 1 and options[0][0] is not None:
-            pool = doc.by_tag.get(options[0][0], ())
-        else:
-            pool = doc.all
-        found = [n for n in pool if any((t is None or n.tag == t) and m(n) for t, m in options)]
+        if tagged:
+            found = []
+            for tag, match in options:
+                pool = doc.by_tag.get(tag, ())
+                if within is not None:
+                    pool = [n for n in pool if within.id < n.id <= within.end]
+                found += pool if match is None else filter(match, pool)
+            if len(options) > 1 and len(found) > 1:
+                found = sorted({n.id: n for n in found}.values(), key=lambda n: n.id)
+            return found
+        pool = doc.all
         if within is not None:
-            found = [n for n in found if within.id < n.id <= within.end]
-        return found
+            pool = [n for n in pool if within.id < n.id <= within.end]
+        return [n for n in pool if any(n.tag == t if m is None else m(n) for t, m in options)]
 
     return select
 

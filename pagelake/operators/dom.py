@@ -25,15 +25,18 @@ HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
 SCOPE = frozenset("applet caption html table td th marquee object template".split())
 SPECIAL = CLOSES_P | SCOPE | frozenset("body head tbody thead tfoot tr button select option".split())
 
+#: Every repetition is possessive, and a tag, quote or declaration that nothing ends takes the rest of the text, so a page is read once.
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:--!?>|\Z)"
-    r"|<(?P<close>/)?(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'])*)>"
-    r"|<[!?](?P<decl>[^>]*)>|</[^A-Za-z>][^>]*>",
+    r"|<(?P<close>/)?(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>"
+    r"|<[!?](?P<decl>[^>]*+)(?:>|\Z)|</(?![A-Za-z])[^>]*+(?:>|\Z)|(?P<rest></?[A-Za-z])",
     re.DOTALL,
 )
 _ATTR = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _ENTITY = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
-_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in RAW | RCDATA}
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE) for t in RAW | RCDATA}
+#: Deeper elements become siblings; formatting elements that stay open beyond so many are no longer reopened.
+DEPTH, ACTIVE = 512, 100
 _SPACE = " \t\n\r\f"
 
 
@@ -122,21 +125,25 @@ class Document:
     # construction
 
     def _build(self, text):
-        at, n = 0, len(text)
+        at, n, search = 0, len(text), _TOKEN.search
         while at < n:
-            m = _TOKEN.search(text, at)
+            m = search(text, at)
             if m is None:
                 self._characters(text[at:])
                 break
-            if m.start() > at:
-                self._characters(text[at : m.start()])
+            start = m.start()
+            if start > at:
+                self._characters(text[at:start])
             at = m.end()
-            if (tag := m["tag"]) is not None:
+            comment, close, tag, attrs, decl, rest = m.groups()
+            if rest:
+                break  # a tag that never ends is none
+            if tag is not None:
                 tag = tag.lower()
-                if m["close"]:
+                if close:
                     self._close(tag)
                 else:
-                    self._open(tag, dict(_attributes(m["attrs"])))
+                    self._open(tag, dict(_attributes(attrs)) if attrs else {})
                     if (tag in RAW or tag in RCDATA) and self._stack[-1].tag == tag:
                         end = _END[tag].search(text, at)
                         raw = text[at : end.start()] if end else text[at:]
@@ -148,10 +155,10 @@ class Document:
                             self._stack[-1].add(Node(None, text=raw))
                         self._stack.pop()
                         at = end.end() if end else n
-            elif m["comment"] is not None:
-                self._comment(m["comment"])
-            elif m["decl"] is not None and not m["decl"].lower().startswith("doctype"):
-                self._comment(m["decl"])
+            elif comment is not None:
+                self._comment(comment)
+            elif decl is not None and not decl[:7].lower() == "doctype":
+                self._comment(decl)
 
     def _comment(self, text):
         self.comments += 1
@@ -209,14 +216,14 @@ class Document:
     def _reconstruct(self):
         if self._active and any(n not in self._stack for n in self._active):
             for k, n in enumerate(self._active):
-                if n not in self._stack:
+                if n not in self._stack and len(self._stack) < DEPTH:
                     copy = self._stack[-1].add(Node(n.tag, n.attrs))
                     self._stack.append(copy)
                     self._active[k] = copy
 
     def _push(self, tag, attrs):
         node = self._stack[-1].add(Node(tag, attrs))
-        if tag not in VOID:
+        if tag not in VOID and (len(self._stack) < DEPTH or tag in RAW or tag in RCDATA):
             self._stack.append(node)
         return node
 
@@ -294,7 +301,9 @@ class Document:
                     break
         if tag in FORMAT:
             self._reconstruct()
-            self._active.append(self._push(tag, attrs))
+            alike = [n for n in self._active if n.tag == tag and n.attrs == attrs]
+            drop = alike[0] if len(alike) == 3 else self._active[0] if len(self._active) == ACTIVE else None
+            self._active = [n for n in self._active if n is not drop] + [self._push(tag, attrs)]
             return
         if tag not in SPECIAL or tag in ("button", "object"):
             self._reconstruct()
@@ -368,27 +377,28 @@ class Document:
 
     def _number(self):
         self.all, self.n_text, self.n_full_text = [], 0, 0
-        count = 0
         self.by_tag: dict[str, list[Node]] = {}
-        stack = [(self.root, False)]
+        count, stack, every, by_tag = 0, [self.root], self.all, self.by_tag
         while stack:
-            n, seen = stack.pop()
-            if seen:
-                n.end = count - 1
+            n = stack.pop()
+            if n.__class__ is tuple:
+                n[0].end = count - 1
                 continue
-            n.id = count
+            n.id = n.end = count
             count += 1
-            if n.tag is None:
+            tag = n.tag
+            if tag is None:
                 self.n_text += 1
                 self.n_full_text += bool(n.text.strip())
-                n.end = n.id
-            elif n.tag == "#":
-                n.end = n.id
-            else:
-                self.all.append(n)
-                self.by_tag.setdefault(n.tag, []).append(n)
-                stack.append((n, True))
-                stack.extend((c, False) for c in reversed(n.children))
+            elif tag != "#":
+                every.append(n)
+                if tag in by_tag:
+                    by_tag[tag].append(n)
+                else:
+                    by_tag[tag] = [n]
+                if n.children:
+                    stack.append((n,))
+                    stack.extend(reversed(n.children))
 
     # reading
 

@@ -141,21 +141,21 @@ def text_feature(config: ParserConfig) -> Feature:
     return Feature(lambda d, b: content.main_text(d, b, more, least), "string")
 
 
-def _plain(value, kind: pa.DataType):
-    """A value as pyarrow takes it: maps as lists of pairs, decimals as text-exact numbers."""
-    if value is None:
-        return None
-    if pa.types.is_struct(kind):
-        return {f.name: _plain(value.get(f.name), f.type) for f in kind}
+def _plain(kind: pa.DataType):
+    """What turns a value into one that pyarrow takes: maps as lists of pairs, decimals as text-exact numbers. None where values can stay."""
     if pa.types.is_map(kind):
-        return [(k, v) for k, v in value.items()]
-    if pa.types.is_list(kind):
-        return [_plain(v, kind.value_type) for v in value]
+        return lambda v: None if v is None else list(v.items())
     if pa.types.is_decimal(kind):
         import decimal
 
-        return decimal.Decimal(value)
-    return value
+        return lambda v: None if v is None else decimal.Decimal(v)
+    if pa.types.is_list(kind) and (inner := _plain(kind.value_type)):
+        return lambda v: None if v is None else list(map(inner, v))
+    if pa.types.is_struct(kind):
+        inner = {f.name: turn for f in kind if (turn := _plain(f.type))}
+        if inner:
+            return lambda v: None if v is None else v | {n: turn(v.get(n)) for n, turn in inner.items()}
+    return None
 
 
 def extract(
@@ -170,7 +170,7 @@ def extract(
     ddl = "struct<" + ",".join(f"`{n}`:{f.ddl}" for n, f in wanted.items()) + ">"
     spark_type = T._parse_datatype_string(ddl)
     arrow_type = to_arrow_type(spark_type)
-    readers = [(n, f.read, arrow_type.field(n).type) for n, f in wanted.items()]
+    readers = [(n, f.read, _plain(arrow_type.field(n).type)) for n, f in wanted.items()]
 
     @F.arrow_udf(spark_type)
     def parse(page: pa.Array, url: pa.Array) -> pa.Array:
@@ -181,7 +181,7 @@ def extract(
                 rows.append(None)
                 continue
             doc, at = Document(text, fragment), parse_url(where.as_py())
-            rows.append({n: _plain(read(doc, at), kind) for n, read, kind in readers})
+            rows.append({n: turn(read(doc, at)) if turn else read(doc, at) for n, read, turn in readers})
         return pa.array(rows, arrow_type)
 
     # marked so that no optimizer rule (such as the filter that Generate implies) evaluates it a second time

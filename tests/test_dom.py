@@ -112,3 +112,38 @@ def test_resolve_choices():
     assert resolve("tel:1", BASE, http_only=True) is None and resolve("#x", BASE, skip=("#",)) is None
     assert normalise("HTTP://h:80/a#f") == "http://h/a" and normalise("mailto:x") == "mailto:x" and normalise("no") is None
     assert host("https://u:p@H.com:8/x") == "h.com" and parse_url("http://") is None and parse_url("http://h:99999") is None
+
+
+HOSTILE = {
+    "attributes of an unclosed tag": "<p>a</p><a " + " ".join(f'x{k}="{k}"' for k in range(10_000)), "unclosed tags": "<p>a</p>" + "<a " * 100_000,
+    "formatting": "<p>a</p>" + "<p><b>" * 10_000, "declarations": "<p>a</p>" + "<!x" * 100_000, "open quotes": "<p>a</p>" + '<a x="' * 50_001, "equals": "<p>a</p><a " + "=" * 100_000,
+    "raw ends": "<p>a</p><script>" + "</script " * 50_000, "many attributes": "<p>a</p><a " + " ".join(f'x{k}="{k}"' for k in range(10_000)) + ">z</a>",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    import time
+
+    began = time.process_time()
+    d = Document(HOSTILE[name])
+    assert time.process_time() - began < 1 and d.first("p").joined() == "a"
+
+
+def test_depth_is_bounded():
+    d = Document("<div>" * 5_000 + "x")
+    assert len(d.by_tag["div"]) == 5_000 and len(outer_html(d.root)) > 5_000
+    assert max(sum(1 for _ in n.ancestors()) for n in d.all) <= 512
+
+
+def test_at_most_three_equal_formatting_elements_reopen():
+    body = html("<p><b><b><b><b><b>x<p>y")
+    assert "<p><b><b><b>y</b></b></b></p>" in body
+    assert "<p><b id=\"1\"><b id=\"2\"><b id=\"3\"><b id=\"4\">y" in html("".join(["<p>", *(f"<b id={k}>" for k in range(1, 5)), "x<p>y"]))
+
+
+def test_quoted_ends_and_unfinished_tags():
+    assert Document('<a title="x > y" href=/z>t</a>').first("a").attrs == {"title": "x > y", "href": "/z"}
+    assert Document('<a "odd>t</a>').first("a").joined() == "t"
+    assert html("<p>a<a href=") == html("<p>a") == html('<p>a<b title="never ends>x</b>')
+    assert html("a</>b</ x>c<!never") == "<html><head></head><body>abc<!--never--></body></html>"
