@@ -68,6 +68,7 @@ class FetchConfig:
     timeout_secs: float = 30.0
     max_redirects: int = 10
     max_retries: int = 3
+    max_concurrent: int = 16
     user_agent: str | None = None
     random_user_agent: bool = True
     name: str = "http"
@@ -76,6 +77,19 @@ class FetchConfig:
     proxy_pass: str | None = None
 
 
+@dataclass(frozen=True)
+class SiteConfig:
+    """A site to scrape: where its list of articles is, and the selectors of what is wanted."""
+
+    name: str
+    url: str
+    list_selector: str = "body"
+    link_selector: str = "a[href]"
+    title_selector: str = "h1"
+    content_selector: str = "article"
+    enabled: bool = True
+
+
 @dataclass(frozen=True)
 class LimitRule:
     domain_glob: str = "*"
@@ -105,6 +119,7 @@ def valid_patterns(patterns) -> tuple[str, ...]:
 class CrawlConfig:
     follow_links: bool = False
     max_depth: int = 10
+    #: seeds or URLs that a level has under way at once; 0: the greatest parallelism of any rule, else 16
     max_concurrency: int = 0
     headers: tuple[tuple[str, str], ...] = ()
     link_selector: str = "a[href]"
@@ -123,6 +138,10 @@ class CrawlConfig:
     def add_disallowed_url_filter(self, pattern: str) -> CrawlConfig:
         return replace(self, deny=(*self.deny, *valid_patterns([pattern])))
 
+    @property
+    def concurrency(self) -> int:
+        return self.max_concurrency or max((r.parallelism for r in self.limits), default=16)
+
     def add_limit(self, *rules: LimitRule) -> CrawlConfig:
         return replace(self, limits=(*self.limits, *rules))
 

@@ -18,8 +18,8 @@ from ..functions.kinds import feed_type
 from ..functions.responses import feed_links, is_html, is_xml, scrape_stats
 from ..functions.urls import domain_allowed, url_allowed, url_host
 from ..sources.fetch import default_headers, refusal, requests
-from .config import CrawlConfig, LimitRule
-from .parse import elements, extract, selected_links
+from .config import CrawlConfig, LimitRule, SiteConfig
+from .parse import elements, extract, selected_links, texts
 from .ranking import row_numbers
 from .shared import written
 
@@ -30,7 +30,7 @@ def matching_rule(hosts: DataFrame, rules: tuple[LimitRule, ...], host: str = "h
     for k, rule in reversed(list(enumerate(rules))):
         out = F.when(F.col(host).rlike(rule.pattern), F.lit(k)).otherwise(out)
     df = hosts.withColumn("rule_order", out)
-    for name in ("parallelism", "delay_s"):
+    for name in ("parallelism", "delay_s", "random_delay_s"):
         value = F.lit(None)
         for k, rule in enumerate(rules):
             value = F.when(F.col("rule_order") == k, F.lit(getattr(rule, name))).otherwise(value)
@@ -40,10 +40,16 @@ def matching_rule(hosts: DataFrame, rules: tuple[LimitRule, ...], host: str = "h
 
 def schedule(urls: DataFrame, rules: tuple[LimitRule, ...], url: str = "url", order: str = "seq") -> DataFrame:
     """``urls`` with the second at which politeness lets each start: per host, batches of its rule's parallelism
-    every delay. A host may hold any share of the rows."""
+    every delay. A host may hold any share of the rows.
+
+    A random delay moves each start but the first by a share of it that follows from the URL, and never brings two batches
+    closer than the delay."""
     queued = row_numbers(urls.withColumn("host", url_host(F.col(url))), "host", [order, url], "_turn")
     hosted, turn = matching_rule(queued, rules), F.col("_turn") - 1
-    start = F.floor(turn / F.coalesce("parallelism", F.lit(1))) * F.coalesce("delay_s", F.lit(0.0))
+    batch = F.floor(turn / F.greatest(F.coalesce("parallelism", F.lit(1)), F.lit(1)))
+    delay, more = F.coalesce("delay_s", F.lit(0.0)), F.coalesce("random_delay_s", F.lit(0.0))
+    share = F.pmod(F.xxhash64(F.col(url)), F.lit(1 << 20)) / float(1 << 20)
+    start = batch * delay + F.when(batch > 0, more * (batch - 1 + share)).otherwise(0.0)
     return hosted.withColumn("start_s", F.when(F.col("rule_order").isNull(), 0.0).otherwise(start)).drop("_turn")
 
 
@@ -90,7 +96,15 @@ class Crawler:
         sent = default_headers(frontier, dict(c.headers))
         if h.on_request:
             sent = h.on_request(sent)
-        got = self.fetcher.fetch(sent)
+        names = sent.columns
+        if c.limits:
+            # one task holds all of a host that a rule limits, earliest first; the fetcher waits until start_s
+            sent = schedule(sent, c.limits, order="url")
+            free = F.when(F.col("rule_order").isNull(), F.xxhash64("url"))
+            sent = sent.repartition(F.coalesce("host", "url"), F.coalesce(free, F.lit(0).cast("long"))).sortWithinPartitions("start_s")
+            sent = sent.select(*names, "start_s")
+        fetcher = self.fetcher.limited(c.concurrency) if hasattr(self.fetcher, "limited") else self.fetcher
+        got = fetcher.fetch(sent).drop("start_s") if c.limits else fetcher.fetch(sent)
         why = refusal(c.detect_bot_challenge, c.detect_access_denied, h.bot_challenge, h.access_denied)
         return got.withColumn("refused", why)
 
@@ -120,6 +134,8 @@ class Crawler:
             done = level if done is None else done.unionByName(level)
             fresh = good.select("url").distinct()
             visited = fresh if visited is None else visited.unionByName(fresh)
+            if depth % 8 == 7:
+                visited = written(visited, "visited")  # one table again, so that no plan reads a part for every level
             if not c.follow_links or depth == c.max_depth:
                 break
             links = selected_links(c.link_selector, c.link_selector_type, absolute=True)
@@ -176,6 +192,26 @@ class Crawler:
         return extract(got, "article", html="response_body", base="final_url").select("url", "article", "error")
 
 
+def scrape_sites(spark: SparkSession, fetcher, sites: list[SiteConfig], config: CrawlConfig = CrawlConfig()) -> DataFrame:
+    """Articles of the enabled sites: site_name, title, url, raw_html and content (text) of each page that a site's list links to."""
+    out = None
+    for site in sites:
+        if not site.enabled:
+            continue
+        crawler = Crawler(spark, fetcher, config)
+        seed = spark.createDataFrame([(site.url,)], "url string")
+        found = crawler.get_links(seed, f"{site.list_selector} {site.link_selector}").select(F.explode("links").alias("url")).distinct()
+        got = crawler.crawl(written(found, "articles")).where("refused is null")
+        title, content = (extract(got, html="response_body", base="final_url", t=texts(x)) for x in (site.title_selector, site.content_selector))
+        page = title.select("url", F.col("response_body").alias("raw_html"), F.get("t", F.lit(0)).alias("title"))
+        body = content.select("url", F.array_join("t", "\n").alias("content"))
+        rows = page.join(body, "url").select(F.lit(site.name).alias("site_name"), "title", "url", "raw_html", "content")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return spark.createDataFrame([], "site_name string, title string, url string, raw_html string, content string")
+    return out
+
+
 def stats(results: DataFrame, *by: str) -> DataFrame:
     """Totals of crawl results."""
     outcome = F.when(F.col("refused").isNull(), "success").otherwise("failed")

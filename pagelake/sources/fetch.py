@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import responses as r
 from ..functions.kinds import user_agent
 from ..plans.config import FetchConfig
+from ..plans.shared import written
+from .parallel import in_threads
 
 REQUEST = (
     "url string, method string, headers map<string,string>, allow_revisit boolean, context map<string,string>, "
@@ -77,13 +79,20 @@ class CorpusFetcher:
 
 
 class CallableFetcher:
-    """Calls ``get(url, method, headers, body) -> (status, headers, body, final_url)`` in the workers.
+    """Calls ``get(url, method, headers, body) -> (status, headers, body, final_url)`` in the workers, ``config.max_concurrent`` at once in a task.
 
-    Transport errors are retried with exponential backoff, HTTP statuses aren't; what still fails is an error row.
+    A request with a ``start_s`` isn't sent before so many seconds after its task began. Transport errors are retried with exponential backoff, HTTP statuses aren't; what still fails is an error row.
     """
 
-    def __init__(self, get: Callable, config: FetchConfig = FetchConfig(), wait_s: float = 0.1):
-        self.get, self.config, self.wait_s, self.name = get, config, wait_s, config.name
+    def __init__(self, get: Callable | None = None, config: FetchConfig = FetchConfig(), wait_s: float = 0.1):
+        self.get, self.config, self.wait_s, self.name = get or http_get(config), config, wait_s, config.name
+        self.total: int | None = None
+
+    def limited(self, total: int) -> CallableFetcher:
+        """The same fetcher with at most ``total`` requests under way in all tasks together."""
+        other = type(self)(self.get, self.config, self.wait_s)
+        other.total = total
+        return other
 
     def fetch(self, requests: DataFrame) -> DataFrame:
         get, retries, wait = self.get, self.config.max_retries, self.wait_s
@@ -95,7 +104,16 @@ class CallableFetcher:
                 "headers", F.when(mine, F.col("headers")).otherwise(F.map_concat("headers", F.create_map(F.lit("user-agent"), agent)))
             )
 
-        def call(url, method, headers, body):
+        threads = self.config.max_concurrent
+        if self.total is not None:
+            tasks = max(1, min(self.total, requests.sparkSession.sparkContext.defaultParallelism))
+            requests, threads = requests.coalesce(tasks), max(1, min(threads, self.total // tasks))
+        began: list[float] = []
+
+        def call(url, method, headers, body, start=None):
+            if start is not None:
+                began or began.append(time.monotonic())
+                time.sleep(max(0.0, began[0] + start - time.monotonic()))
             for k in range(retries + 1):
                 try:
                     status, said, text, final = get(url, method, dict(headers or {}), body)
@@ -106,27 +124,32 @@ class CallableFetcher:
                         time.sleep(wait * 2**k)
             return None, None, None, None, error
 
-        @F.udf("status int, headers map<string,string>, body string, final_url string, error string")
-        def fetched(url, method, headers, body):
-            return call(url, method, headers, body)
-
-        fetched = fetched.asNondeterministic()  # never sent twice
-        sent = requests.where(~F.col("aborted")).withColumn("_r", fetched("url", "method", "headers", "body"))
+        answer = "status int, response_headers map<string,string>, response_body string, final_url string, error string"
+        args = ["url", "method", "headers", "body", *(["start_s"] if "start_s" in names else [])]
+        sent = in_threads(requests.where(~F.col("aborted")), call, args, answer, threads)
         return sent.select(
-            *names, F.col("_r.status").alias("status"), F.col("_r.headers").alias("response_headers"),
-            F.col("_r.body").alias("response_body"), F.col("_r.final_url").alias("final_url"), F.lit(self.name).alias("fetcher"),
-            F.col("_r.error").alias("error"),
-        )
+            *names, "status", "response_headers", "response_body", "final_url", F.lit(self.name).alias("fetcher"), "error"
+        )
 
 
 def http_get(config: FetchConfig = FetchConfig()) -> Callable:
-    """A transport for CallableFetcher over the standard library."""
+    """A transport for CallableFetcher over the standard library; more than ``config.max_redirects`` redirects are an error."""
 
     def get(url, method, headers, body):
         import urllib.error
         import urllib.request
 
-        handlers = []
+        class Redirects(urllib.request.HTTPRedirectHandler):
+            max_repeats = max_redirections = config.max_redirects
+
+            def http_error_302(self, request, fp, code, msg, headers):
+                if len(getattr(request, "redirect_dict", {})) >= config.max_redirects:
+                    raise OSError("too many redirects")
+                return super().http_error_302(request, fp, code, msg, headers)
+
+            http_error_301 = http_error_303 = http_error_307 = http_error_308 = http_error_302
+
+        handlers = [Redirects()]
         if config.proxy_url:
             auth = f"{config.proxy_user}:{config.proxy_pass}@" if config.proxy_user else ""
             scheme, _, rest = config.proxy_url.partition("://")
@@ -143,6 +166,26 @@ def http_get(config: FetchConfig = FetchConfig()) -> Callable:
     return get
 
 
+#: What a browser sends besides its name.
+BROWSER_HEADERS = {
+    "accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8", "accept-language": "en-US,en;q=0.9", "upgrade-insecure-requests": "1",
+    "sec-fetch-dest": "document", "sec-fetch-mode": "navigate", "sec-fetch-site": "none", "sec-fetch-user": "?1",
+}
+
+
+class BrowserFetcher(CallableFetcher):
+    """A second HTTP backend that sends a browser's headers with its name; a request's own headers win.
+
+    Only headers are a browser's: the standard library can't shake hands as one does.
+    """
+
+    def __init__(self, get: Callable | None = None, config: FetchConfig = FetchConfig(name="browser"), wait_s: float = 0.1):
+        super().__init__(get, config, wait_s)
+
+    def fetch(self, requests: DataFrame) -> DataFrame:
+        return super().fetch(default_headers(requests, BROWSER_HEADERS))
+
+
 def refusal(bot: bool = True, denied: bool = True, more_bot=None, more_denied=None) -> Column:
     """Why a response isn't accepted, null if it is: built-in detectors first, then given predicates."""
     seen = (F.col("status"), F.col("response_headers"), F.col("response_body"))
@@ -161,7 +204,8 @@ class CompositeFetcher:
     """Tries fetchers in order; a request goes to the next one only if the ones before failed or were refused.
 
     ``fetch`` gives one row a request: the first accepted response, else an error that names the last failure.
-    ``attempts`` gives every rejected try (the error log).
+    ``attempts`` gives every rejected try (the error log); ``fetch_logged`` gives both from the same tries. Each tier's answers are
+    written to the shared folder before they are judged, so a tier gets a request once, whatever is read afterwards.
     """
 
     name = "composite"
@@ -176,21 +220,29 @@ class CompositeFetcher:
     def _tries(self, requests: DataFrame):
         todo, tries = requests, []
         for k, f in enumerate(self.fetchers):
-            tried = f.fetch(todo).withColumn("priority", F.lit(k)).withColumn("refused", self.reason)
+            tried = written(f.fetch(todo).withColumn("priority", F.lit(k)).withColumn("refused", self.reason), f"tier{k}")
             tries.append(tried)
             todo = tried.where("refused is not null").select(*requests.columns)
         return tries
 
     def fetch(self, requests: DataFrame) -> DataFrame:
+        return self.fetch_logged(requests)[0]
+
+    def attempts(self, requests: DataFrame) -> DataFrame:
+        return self.fetch_logged(requests)[1]
+
+    def fetch_logged(self, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(responses, rejected tries: url, fetcher, priority, refused) of one round of sending."""
+        nothing = F.lit(None)
         if not self.fetchers:
-            nothing = F.lit(None)
-            return requests.where(~F.col("aborted")).select(
+            out = requests.where(~F.col("aborted")).select(
                 "*", nothing.cast("int").alias("status"), nothing.cast("map<string,string>").alias("response_headers"),
                 nothing.cast("string").alias("response_body"), nothing.cast("string").alias("final_url"),
                 nothing.cast("string").alias("fetcher"), F.lit("no fetcher configured").alias("error"),
             )
+            return out, out.select("url", "fetcher", nothing.cast("int").alias("priority"), F.col("error").alias("refused")).limit(0)
+        out = log = None
         tries = self._tries(requests)
-        out = None
         for k, t in enumerate(tries):
             last = k == len(tries) - 1
             kept = t if last else t.where("refused is null")
@@ -200,15 +252,10 @@ class CompositeFetcher:
                 for c in ("status", "response_headers", "response_body", "final_url", "fetcher"):
                     kept = kept.withColumn(c, F.when(~failed, F.col(c)))
             kept = kept.drop("priority", "refused")
+            rejected = t.where("refused is not null").select("url", "fetcher", "priority", "refused")
             out = kept if out is None else out.unionByName(kept)
-        return out
-
-    def attempts(self, requests: DataFrame) -> DataFrame:
-        out = None
-        for t in self._tries(requests):
-            t = t.where("refused is not null").select("url", "fetcher", "priority", "refused")
-            out = t if out is None else out.unionByName(t)
-        return out
+            log = rejected if log is None else log.unionByName(rejected)
+        return out, log
 
 
 def failover(candidates: DataFrame, key: str = "url", priority: str = "priority", reason: Column | None = None) -> DataFrame:
