@@ -1,9 +1,18 @@
-"""Text measures as native expressions; lengths in UTF-8 bytes where thresholds are, classes as Unicode has them."""
+"""Text measures; lengths in UTF-8 bytes where thresholds are, classes as Unicode has them.
+
+What is measured word by word (words, syllables, language) is one Arrow function: each distinct word of a batch of texts is looked at once, which nested
+native functions with a pattern a word can't do. All else is native.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STOP_WORDS = {
     "en": """world without with will which while where when what was water under through this think thing they these
@@ -38,53 +47,87 @@ def strip_tags(html: Column) -> Column:
     return normalise(F.replace(F.regexp_replace(html, r"<[^>]*(?:>|\z)", ""), F.lit(">"), F.lit("")))
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _WS + "+"), lambda w: w != "")
+_SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_SEPARATORS = regex.compile("[\x1c-\x1f]")  # str.split takes these for white space
+_LETTER = regex.compile(r"\p{Alphabetic}")
+_EDGES = regex.compile(r"^\P{Alphabetic}+|\P{Alphabetic}+\Z")
+_ENDS = regex.compile("[.!?。！？]")
+_VOWELS = regex.compile("[aeiouy]+")
+_LE = regex.compile(r"[^aeiouy]le\Z")
+_LANGUAGES = ("en", "fr", "de", "es")
+_KNOWN = 100_000
+
+
+def _syllables(word: str) -> int:
+    if not word:
+        return 0
+    if len(word.encode()) <= 3:
+        return 1
+    n = len(_VOWELS.findall(word))
+    n += bool(_LE.search(word)) - (n > 1 and word.endswith("e"))
+    return max(n - (n > 1 and word.endswith(("es", "ed"))), 1)
+
+
+class _Words:
+    """Facts of words: (holds a letter, syllables, whether each language lists it), for at most _KNOWN at a time."""
+
+    def __init__(self):
+        self.listed = {k: frozenset(v) for k, v in STOP_WORDS.items()}
+        self.known: dict[str, tuple] = {}
+
+    def fact(self, word: str) -> tuple:
+        bare = (word if word.isalpha() else _EDGES.sub("", word)).lower()
+        found = tuple(bare in self.listed[k] for k in _LANGUAGES) if len(bare.encode()) > 2 else ()
+        if len(self.known) >= _KNOWN:
+            self.known = {}
+        fact = self.known[word] = (_LETTER.search(word) is not None, _syllables(bare), found if any(found) else None)
+        return fact
+
+    def measures(self, text: str | None) -> tuple:
+        text = text or ""
+        words = Counter(filter(None, _SPACES.split(text)) if _SEPARATORS.search(text) else text.split())
+        lettered = syllables = 0
+        hits = [0, 0, 0, 0]
+        known = self.known.get
+        for w, n in words.items():
+            has, s, found = known(w) or self.fact(w)
+            lettered += has * n
+            syllables += s * n
+            if found:
+                for k in range(4):
+                    hits[k] += found[k] * n
+        # of equals the later one
+        best = max(range(4), key=lambda k: (hits[k], k))
+        return words.total(), lettered, max(len(_ENDS.findall(text)), 1), syllables, _LANGUAGES[best] if hits[best] else None
+
+
+_COUNTS = ("tokens", "words", "sentences", "syllables")
+
+
+@F.arrow_udf(T.StructType([*(T.StructField(c, T.LongType()) for c in _COUNTS), T.StructField("language", T.StringType())]))
+def _measured(text: pa.Array) -> pa.Array:
+    words = _Words()
+    rows = list(zip(*(words.measures(t.as_py()) for t in text))) or [()] * 5
+    kinds = [pa.int64()] * 4 + [pa.string()]
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], [*_COUNTS, "language"])
+
+
+def measures(text: Column) -> Column:
+    """Struct tokens, words, sentences, syllables, language; take it as a column of its own before using its fields."""
+    return _measured(text.cast("string"))
 
 
 def count_words(text: Column) -> Column:
     """Words that hold a letter."""
-    return F.size(F.filter(tokens(text), lambda w: w.rlike(r"\p{IsAlphabetic}"))).cast("long")
+    return measures(text)["words"]
 
 
 def count_sentences(text: Column) -> Column:
     return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[.!?。！？]")), F.lit(1)).cast("long")
 
 
-def letters(word: Column) -> Column:
-    """A word without what isn't a letter at either end, lower-cased."""
-    return F.lower(F.regexp_replace(word, r"^\P{IsAlphabetic}+|\P{IsAlphabetic}+\z", ""))
-
-
-def syllables(words: Column) -> Column:
-    """Syllables of each element of an array of tokens. One step a rule, so that nothing is computed twice."""
-    bare = F.transform(words, letters)
-    vowels = F.transform(bare, lambda w: F.struct(w.alias("w"), F.regexp_count(w, F.lit("[aeiouy]+")).alias("n")))
-    mute = F.transform(
-        vowels,
-        lambda x: F.struct(
-            x["w"].alias("w"),
-            (x["n"] - (x["w"].endswith("e") & (x["n"] > 1)).cast("int") + x["w"].rlike(r"[^aeiouy]le\z").cast("int")).alias("n"),
-        ),
-    )
-
-    def last(x):
-        w, n = x["w"], x["n"]
-        n = n - ((n > 1) & (w.endswith("es") | w.endswith("ed"))).cast("int")
-        return F.when(w == "", 0).when(F.octet_length(w) <= 3, 1).otherwise(F.greatest(n, F.lit(1)))
-
-    return F.transform(mute, last)
-
-
 def count_syllables(text: Column) -> Column:
-    return F.aggregate(syllables(tokens(text)), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-
-
-def measures(text: Column) -> Column:
-    """Struct words, sentences, syllables; take it as a column of its own before using its fields."""
-    return F.struct(
-        count_words(text).alias("words"), count_sentences(text).alias("sentences"), count_syllables(text).alias("syllables")
-    )
+    return measures(text)["syllables"]
 
 
 def reading_ease(m: Column) -> Column:
@@ -111,25 +154,7 @@ def flesch_kincaid_grade(text: Column) -> Column:
 
 def detect_language(text: Column) -> Column:
     """The language whose frequent words stand most often in a text; a later one of en, fr, de, es wins a tie."""
-    words = F.filter(F.transform(tokens(text), letters), lambda w: F.octet_length(w) > 2)
-    # one pass over the words, adding to four counters
-    lists = [F.array(*map(F.lit, STOP_WORDS[k])) for k in ("en", "fr", "de", "es")]
-    zero = F.struct(*(F.lit(0).alias(k) for k in ("en", "fr", "de", "es")))
-    hits = lambda acc, w: F.struct(
-        *((acc[k] + F.array_contains(lst, w).cast("int")).alias(k) for k, lst in zip(("en", "fr", "de", "es"), lists))
-    )
-
-    def best(c):
-        en, fr, de, es = c["en"], c["fr"], c["de"], c["es"]
-        return (
-            F.when(F.greatest(en, fr, de, es) == 0, F.lit(None).cast("string"))
-            .when((es >= de) & (es >= fr) & (es >= en), "es")
-            .when((de >= fr) & (de >= en), "de")
-            .when(fr >= en, "fr")
-            .otherwise("en")
-        )
-
-    return F.aggregate(words, zero, hits, best)
+    return measures(text)["language"]
 
 
 def clean_text(text: Column) -> Column:
@@ -159,4 +184,4 @@ def text_content(raw: Column, readability: bool = False) -> Column:
 
 def is_substantial(text: Column) -> Column:
     """At least fifty white-space-separated words."""
-    return F.size(tokens(text)) >= 50
+    return measures(text)["tokens"] >= 50

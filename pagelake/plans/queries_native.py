@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kinds, responses, text, urls
 from ..operators import media as media_tables
-from ..sources.fetch import CorpusFetcher, failover
+from ..sources.fetch import CompositeFetcher, CorpusFetcher
 from . import article_links as scoring
 from . import records
 from .config import ExtractorConfig, LimitRule
@@ -230,22 +230,29 @@ def emails_in_text(spark, sf_dir):
     return docs.select("doc_id", F.explode(found).alias("address")).withColumn("valid", kinds.valid_email(F.col("address")))
 
 
-_PHONE = r"\+[0-9][ ().0-9-]{6,20}[0-9]"
+_GAP = r"[\s.-]?"
+_PHONE = rf"(?:\+?\d{{1,3}}{_GAP})?\(?\d{{2,4}}\)?{_GAP}\d{{3,4}}{_GAP}\d{{3,4}}(?:\s*(?:#|ext|x|分机)\s*\d+)?\b"
+_TOLLFREE = r"(?:\+?1[\s.-]?)?8(?:00|33|44|55|66|77|88)[\s.-]?\d{3}[\s.-]?\d{4}"
 
 
 @query(
-    rf"""SELECT doc_id, number, d AS normalized, CASE WHEN length(d) BETWEEN 10 AND 12 AND
+    rf"""WITH f AS (SELECT doc_id, regexp_extract_all(text, '{_TOLLFREE}') AS free, regexp_extract_all(text, '{_PHONE}') AS every FROM documents),
+n AS (SELECT doc_id, unnest(free || every) AS number, unnest(range(len(free) + len(every))) AS k, len(free) AS frees FROM f),
+d AS (SELECT doc_id, regexp_replace(number, '[^0-9]', '', 'g') AS d, arg_min(number, k) AS number, min(k) < any_value(frees) AS free FROM n GROUP BY ALL)
+SELECT doc_id, number, d AS normalized, CASE WHEN free THEN 'toll_free' WHEN length(d) BETWEEN 10 AND 12 AND
     (CASE WHEN d LIKE '1%' AND length(d) >= 11 THEN substr(d, 2, 3) ELSE substr(d, 1, 3) END) IN ('800','833','844','855','866','877','888') THEN 'toll_free'
-    WHEN regexp_matches(d, '^1[3-9][0-9]{{9}}$') THEN 'mobile' WHEN d LIKE '0%' AND length(d) BETWEEN 10 AND 12 THEN 'landline' ELSE 'unknown' END AS phone_type
-    FROM (SELECT doc_id, number, regexp_replace(number, '[^0-9]', '', 'g') AS d FROM
-      (SELECT doc_id, unnest(regexp_extract_all(text, '{_PHONE}')) AS number FROM documents))"""
+    WHEN regexp_matches(d, '^1[3-9][0-9]{{9}}$') THEN 'mobile' WHEN d LIKE '0%' AND length(d) BETWEEN 10 AND 12 THEN 'landline' ELSE 'unknown' END AS phone_type FROM d"""
 )
 def phones_in_text(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").where(F.col("text").contains("+")).select(
-        "doc_id", F.explode(F.regexp_extract_all("text", F.lit(_PHONE), F.lit(0))).alias("number")
-    )
+    free, every = (F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (_TOLLFREE, _PHONE))
+    found = spread(table(spark, sf_dir, "documents")).where(F.col("text").rlike("[0-9]")).select("doc_id", free.alias("free"), every.alias("every"))
+    numbers = found.select("doc_id", F.size("free").alias("frees"), F.posexplode(F.concat("free", "every")).alias("k", "number"))
     n = F.col("number")
-    return found.select("doc_id", "number", kinds.phone_digits(n).alias("normalized"), kinds.phone_type(n).alias("phone_type"))
+    first = numbers.withColumn("normalized", kinds.phone_digits(n)).groupBy("doc_id", "normalized").agg(
+        F.min_by("number", "k").alias("number"), (F.min("k") < F.first("frees")).alias("free")
+    )
+    kind = F.when(F.col("free"), "toll_free").otherwise(kinds.phone_type(n))
+    return first.select("doc_id", "number", "normalized", kind.alias("phone_type"))
 
 
 _MARKS = (
@@ -265,19 +272,20 @@ def _answers(spark, sf_dir):
     )
 
 
-@query(
-    f"""WITH r AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 200 WHEN page_id % 3 = 0 THEN 403 ELSE 404 END AS status,
-    substr(html, 1, 2000) || {_MARK_SQL} AS body FROM pages), l AS (SELECT *, lower(body) AS b, strlen(body) AS size FROM r)
-SELECT page_id, status BETWEEN 200 AND 299 AS success,
-  status = 200 AND (contains(b, 'px-captcha') OR contains(b, 'cf-challenge') OR (contains(b, 'ray id') AND contains(b, 'cloudflare') AND contains(b, 'enable javascript'))
+_CHALLENGE_SQL = """status = 200 AND (contains(b, 'px-captcha') OR contains(b, 'cf-challenge') OR (contains(b, 'ray id') AND contains(b, 'cloudflare') AND contains(b, 'enable javascript'))
     OR contains(b, 'datadome') OR (contains(b, 'akamai') AND (contains(b, 'bot') OR contains(b, 'challenge')))
     OR (contains(b, 'access to this page') AND contains(b, 'denied') AND contains(b, 'human'))
-    OR (contains(b, '<title>') AND contains(b, 'challenge') AND (contains(b, 'robot') OR contains(b, 'blocked') OR contains(b, 'access denied')))) AS challenge,
-  status BETWEEN 400 AND 499 AND ((contains(b, 'edgesuite.net') OR contains(b, 'edgekey.net')) AND (contains(b, 'access denied') OR contains(b, 'permission'))
+    OR (contains(b, '<title>') AND contains(b, 'challenge') AND (contains(b, 'robot') OR contains(b, 'blocked') OR contains(b, 'access denied'))))"""
+_DENIED_SQL = """status BETWEEN 400 AND 499 AND ((contains(b, 'edgesuite.net') OR contains(b, 'edgekey.net')) AND (contains(b, 'access denied') OR contains(b, 'permission'))
     OR (size < 5000 AND contains(b, 'reference #') AND (contains(b, 'errors.edgesuite.net') OR contains(b, 'errors.edgekey.net')))
     OR (status = 403 AND contains(b, 'cloudflare') AND (contains(b, 'denied') OR contains(b, 'error 1020')))
-    OR (status = 403 AND size < 3000 AND (contains(b, 'access denied') OR contains(b, '403 forbidden') OR contains(b, 'not allowed')))) AS denied
-FROM l"""
+    OR (status = 403 AND size < 3000 AND (contains(b, 'access denied') OR contains(b, '403 forbidden') OR contains(b, 'not allowed'))))"""
+
+
+@query(
+    f"""WITH r AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 200 WHEN page_id % 3 = 0 THEN 403 ELSE 404 END AS status,
+    html || {_MARK_SQL} AS body FROM pages), l AS (SELECT *, lower(body) AS b, strlen(body) AS size FROM r)
+SELECT page_id, status BETWEEN 200 AND 299 AS success, {_CHALLENGE_SQL} AS challenge, {_DENIED_SQL} AS denied FROM l"""
 )
 def response_detectors(spark, sf_dir):
     seen = (F.col("status"), F.col("headers"), F.col("body"))
@@ -412,22 +420,25 @@ def corpus_rollup(spark, sf_dir):
 
 
 @query(
-    f"""WITH a AS (SELECT page_id, url, {_MARK_SQL} AS mark, page_id % 2 AS odd FROM pages)
-SELECT page_id, CASE WHEN odd = 0 AND NOT regexp_matches(lower(mark), 'px-captcha|cf-challenge|ray id|datadome|akamai bot|robot challenge|this page was denied') THEN 0 ELSE 1 END AS priority,
-  200 AS status FROM a"""
+    f"""WITH r AS (SELECT page_id, page_id % 2 = 0 AS there, CASE WHEN page_id % 4 = 0 THEN 200 ELSE 403 END AS status, html || {_MARK_SQL} AS body FROM pages),
+l AS (SELECT *, lower(body) AS b, strlen(body) AS size FROM r),
+w AS (SELECT page_id, status, CASE WHEN NOT there THEN 'http: not found' WHEN {_CHALLENGE_SQL} THEN 'bot_challenge' WHEN {_DENIED_SQL} THEN 'access_denied' END AS why FROM l)
+SELECT page_id, why AS refused, CASE WHEN why IS NULL THEN 'first' WHEN page_id % 5 <> 0 THEN 'second' END AS fetcher,
+  CASE WHEN why IS NULL THEN status WHEN page_id % 5 <> 0 THEN 200 END AS status,
+  CASE WHEN why IS NOT NULL AND page_id % 5 = 0 THEN 'all fetchers failed: http: not found' END AS error,
+  CASE WHEN why IS NULL THEN 0 WHEN page_id % 5 <> 0 THEN 1 ELSE 2 END::BIGINT AS rejected FROM w"""
 )
 def composite_failover(spark, sf_dir):
-    first = _answers(spark, sf_dir).select(
-        "page_id", F.lit(0).alias("priority"), F.when(F.col("page_id") % 2 == 0, 200).otherwise(503).alias("status"),
-        F.create_map(F.lit("content-type"), F.lit("text/html")).alias("response_headers"), F.col("body").alias("response_body"),
-        F.when(F.col("page_id") % 2 == 1, "http: refused").alias("error"),
-    )
-    second = table(spark, sf_dir, "pages").select(
-        "page_id", F.lit(1).alias("priority"), F.lit(200).alias("status"),
-        F.create_map(F.lit("content-type"), F.lit("text/html")).alias("response_headers"), F.lit("<html>ok</html>").alias("response_body"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    return failover(first.unionByName(second), "page_id").select("page_id", "priority", "status")
+    from ..sources.fetch import requests
+
+    found, k = _answers(spark, sf_dir), F.col("page_id")
+    first = found.where(k % 2 == 0).withColumn("status", F.when(k % 4 == 0, 200).otherwise(403))
+    second = table(spark, sf_dir, "pages").where(k % 5 != 0).select("url", F.lit("<html>ok</html>").alias("html"))
+    tiers = CompositeFetcher([CorpusFetcher(first, html="body", status="status", name="first"), CorpusFetcher(second, name="second")])
+    got, log = tiers.fetch_logged(requests(found))
+    tries = log.groupBy("url").agg(F.count("*").alias("rejected"), F.min_by("refused", "priority").alias("refused"))
+    rows = found.select("page_id", "url").join(got.select("url", "fetcher", "status", "error"), "url").join(tries, "url", "left")
+    return rows.select("page_id", "refused", "fetcher", "status", "error", F.coalesce("rejected", F.lit(0)).alias("rejected"))
 
 
 @query(

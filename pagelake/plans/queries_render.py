@@ -241,7 +241,7 @@ _ACTIONS = "login register search upload contact-us subscribe checkout comment o
 _ACTION_SQL = "[" + ", ".join(f"'{a}'" for a in _ACTIONS) + "][(o_orderkey % 10) + 1]"
 
 
-def _forms(spark, sf_dir):
+def _forms_of(spark, sf_dir):
     k = c("o_orderkey")
     action = F.element_at(F.array(*map(F.lit, _ACTIONS)), (k % 10 + 1).cast("int"))
     secret = F.when((k % 10).isin(0, 1, 9), '<input type=password name=pw>').otherwise("")
@@ -252,7 +252,11 @@ def _forms(spark, sf_dir):
         " required minlength=3><label>Kind <select name=kind id=kk><option value=1>one<option value=2 selected></select></label>", secret, token, robot,
         "<textarea name=t> ", escaped(c("o_orderpriority")), " </textarea><button type=submit> Go </button></form>",
     )
-    return extract(_of(spark, sf_dir, "orders", html, "o_orderkey"), "forms").select("o_orderkey", F.inline("forms"))
+    return _of(spark, sf_dir, "orders", html, "o_orderkey")
+
+
+def _forms(spark, sf_dir):
+    return extract(_forms_of(spark, sf_dir), "forms").select("o_orderkey", F.inline("forms"))
 
 
 @query(
@@ -271,10 +275,13 @@ def forms(spark, sf_dir):
 @query(
     """SELECT o_orderkey, 'm' || o_orderkey AS name, 'email' AS field_type, 'Mail & more' AS label, true AS required, 3::BIGINT AS min_length, NULL::VARCHAR AS value, 0 AS options FROM orders
     UNION ALL SELECT o_orderkey, 'kind', 'select', 'Kind  one', false, NULL, NULL, 2 FROM orders
-    UNION ALL SELECT o_orderkey, 't', 'textarea', NULL, false, NULL, o_orderpriority, 0 FROM orders"""
+    UNION ALL SELECT o_orderkey, 't', 'textarea', NULL, false, NULL, o_orderpriority, 0 FROM orders
+    UNION ALL SELECT o_orderkey, 'pw', 'password', NULL, false, NULL, NULL, 0 FROM orders WHERE o_orderkey % 10 IN (0, 1, 9)
+    UNION ALL SELECT o_orderkey, '_Csrf', 'hidden', NULL, false, NULL, '1', 0 FROM orders WHERE o_orderkey % 3 = 0
+    UNION ALL SELECT o_orderkey, 'g-recaptcha-response', 'text', NULL, false, NULL, NULL, 0 FROM orders WHERE o_orderkey % 4 = 0"""
 )
 def form_fields(spark, sf_dir):
-    found = _forms(spark, sf_dir).select("o_orderkey", F.inline("fields")).where("field_type in ('email', 'select', 'textarea')")
+    found = _forms(spark, sf_dir).select("o_orderkey", F.inline("fields"))
     return found.select("o_orderkey", "name", "field_type", "label", "required", "min_length", "value", F.size("options").alias("options"))
 
 
@@ -306,7 +313,7 @@ def pagination(spark, sf_dir):
 
 @query(
     """SELECT c_custkey, 'c' || c_custkey || '@mail.shop.de' AS email, 'write' AS label, 'mailto_link' AS source, '1380000' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone,
-    'mobile' AS phone_type, 'Main ' || c_custkey AS street, lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS postal_code, 'git_hub' AS platform, 'u' || c_custkey AS username, c_mktsegment AS business_name FROM customer"""
+    'mobile' AS phone_type, 'Main ' || c_custkey AS street, lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS postal_code, '/contact' AS contact_page, 'git_hub' AS platform, 'u' || c_custkey AS username, c_mktsegment AS business_name FROM customer"""
 )
 def contacts(spark, sf_dir):
     k = c("c_custkey")
@@ -319,7 +326,7 @@ def contacts(spark, sf_dir):
     found = extract(_of(spark, sf_dir, "customer", html, "c_custkey"), "contacts", "contact_page")
     x = c("contacts")
     return found.select(
-        "c_custkey", x["emails"][0]["address"].alias("email"), x["emails"][0]["label"].alias("label"), x["emails"][0]["source"].alias("source"),
+        "c_custkey", "contact_page", x["emails"][0]["address"].alias("email"), x["emails"][0]["label"].alias("label"), x["emails"][0]["source"].alias("source"),
         x["phones"][0]["normalized"].alias("phone"), x["phones"][0]["phone_type"].alias("phone_type"), x["addresses"][0]["street"].alias("street"),
         x["addresses"][0]["postal_code"].alias("postal_code"), x["social_links"][0]["platform"].alias("platform"),
         x["social_links"][0]["username"].alias("username"), x["business_name"].alias("business_name"),
