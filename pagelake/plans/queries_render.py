@@ -27,9 +27,11 @@ def _meta(name, value, attr="name"):
 
 
 def _grouped(df, keys, order, html):
-    """One page per key from the rows' snippets, in order."""
+    """One page per key from the rows' snippets, in order; on a stated number of partitions, since pages are parsed next and small ones would be merged."""
     rows = F.array_sort(F.collect_list(F.struct(c(order).alias("k"), html.alias("h"))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["h"]), "").alias("body"))
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys).groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["h"]), "").alias("body"))
 
 
 # metadata

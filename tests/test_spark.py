@@ -27,14 +27,14 @@ def test_responses_are_whole_pages(spark, tmp_path):
     """Marks after character 2000 count, and the size is that of the whole page."""
     filler = "<html>" + "x" * 6_000
     rows = [(11, filler), (23, filler + "Access Denied errors.edgesuite.net"), (35, "<html>"), (34, filler + "px-captcha"), (22, filler),
-            (27, filler + "not allowed"), (15, "<html>" + "y" * 2_500 + "not allowed"), (3, filler + "cloudflare denied")]
+            (27, filler + "not allowed"), (15, "<html>" + "y" * 2_500 + "not allowed"), (3, filler + "cloudflare denied"), (44, filler + "px-captcha"), (32, filler)]
     pages = [(k, f"http://h/{k}", html) for k, html in rows]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: (r.challenge, r.denied) for r in own.QUERIES["response_detectors"](spark, str(tmp_path)).collect()}
     no = (False, False)
-    assert got == {11: no, 23: (False, True), 35: no, 34: (True, False), 22: no, 27: no, 15: (False, True), 3: (False, True)}
-    first = {r.page_id: r.priority for r in own.QUERIES["composite_failover"](spark, str(tmp_path)).collect()}
-    assert first[34] == 1 and first[22] == 0
+    assert got == {11: no, 23: (False, True), 35: no, 34: (True, False), 22: no, 27: no, 15: (False, True), 3: (False, True), 44: (True, False), 32: no}
+    first = {r.page_id: (r.fetcher, r.refused) for r in own.QUERIES["composite_failover"](spark, str(tmp_path)).collect()}
+    assert first[44] == ("second", "bot_challenge") and first[32] == ("first", None) and first[35] == (None, "http: not found")
 
 
 def test_entry(spark):
