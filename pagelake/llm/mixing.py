@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import HOT_KEYS, join_unique, word_count, written
 
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 5_000
 WEIGHTS = (5, 2, 1)
 TILTS = (0.5, 0.0, -0.5)
 
