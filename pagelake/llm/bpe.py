@@ -25,14 +25,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .shared import spread, text_batches
+from .shared import releasing, spread, text_batches
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^%s\p{L}\p{N}]+" % _SPACE)
 _CHUNKS = regex.compile("[^%s]+" % _SPACE)
 _ODD = regex.compile("[\x1c-\x1f]")  # str.split takes these for white space, the tokenizer doesn't
 SHORT = 64
-CACHE = 150_000
+#: What each of a worker's caches holds at most, counted as entries of ENTRY bytes; longer words and chunks count by their length.
+CACHE, ENTRY = 80_000, 64
 _NONE = 1 << 30
 
 
@@ -83,6 +84,10 @@ class PairTable:
         return out
 
 
+def _entries(strings) -> int:
+    return len(strings) + sum(map(len, strings)) // ENTRY
+
+
 class Bpe:
     """The tokenizer of one vocabulary file (the JSON of the ``tokenizers`` library)."""
 
@@ -105,6 +110,7 @@ class Bpe:
             raise ValueError("the vocabulary lacks a byte")
         self.words: dict[str, bytes] = {}  # ids as little-endian uint32
         self.chunks: dict[str | int, bytes] = {}
+        self.held = {"words": 0, "chunks": 0}  # entries, longer ones by their length
 
     # merging
 
@@ -231,8 +237,8 @@ class Bpe:
 
     def learn_chunks(self, chunks: set[str]) -> None:
         """Encode chunks that the cache lacks."""
-        if len(self.words) > CACHE:
-            self.words = {}
+        if self.held["words"] > CACHE:
+            self.words, self.held["words"] = {}, 0
         whole, mixed = [], []
         for c in chunks:
             low = c.lower() if c.isascii() else unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()
@@ -242,7 +248,10 @@ class Bpe:
                 mixed.append((c, _PIECES.findall(low)))
         need = {w for _, w in whole}
         need.update(*(ps for _, ps in mixed))
-        self.learn_words(list(need.difference(self.words)))
+        need = need.difference(self.words)
+        self.held["words"] += _entries(need)
+        self.held["chunks"] += _entries(chunks)
+        self.learn_words(list(need))
         find = self.words.__getitem__
         self.chunks.update([(c, find(w)) for c, w in whole])
         self.chunks.update([(c, b"".join(map(find, ps))) for c, ps in mixed])
@@ -259,8 +268,8 @@ class Bpe:
     def encode_texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian uint32, null as empty."""
         split = [self.split(t or "") for t in texts]
-        if not self.chunks or len(self.chunks) > CACHE:
-            self.chunks = {i: struct.pack("<I", i) for i in self.added.values()}
+        if not self.chunks or self.held["chunks"] > CACHE:
+            self.chunks, self.held["chunks"] = {i: struct.pack("<I", i) for i in self.added.values()}, 0
         seen: set = set()
         for s in split:
             seen.update(s)
@@ -282,22 +291,20 @@ class Bpe:
         return b" ".join(known).decode()
 
 
-def _batches(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list]]:
-    """(ids, texts) of a batch in parts of about ``most`` characters."""
-    ids, texts, part, size = batch.column(0).to_pylist(), batch.column(1), [], 0
-    start = 0
-    for k in range(len(ids)):
-        t = texts[k].as_py()
-        part.append(t)
-        size += len(t or "")
-        if size > most or k == len(ids) - 1:
-            yield ids[start : k + 1], part
+def _batches(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """(rows, texts) of a batch in parts of about ``most`` characters."""
+    part, size, start = [], 0, 0
+    for k, t in enumerate(batch.column(0)):
+        part.append(t.as_py())
+        size += len(part[-1] or "")
+        if size > most or k == batch.num_rows - 1:
+            yield batch.slice(start, len(part)), part
             start, part, size = k + 1, [], 0
 
 
-def encode_documents(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and token ids (``ids``, array of int) of every text; with ``digest``, doc_id, n_tokens,
-    ids_sha256 and decoded_sha256 instead.
+    ids_sha256 and decoded_sha256 instead; then the columns that ``carry`` names.
 
     ``path`` names a vocabulary file that the driver reads once and broadcasts (its size is fixed).
     Null and empty texts have no tokens; null ids and repeated rows stay as they are; an empty
@@ -323,7 +330,7 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False) -> DataFr
 
     def encoded(bpe, batches):
         for batch in batches:
-            for ids, texts in _batches(batch):
+            for part, texts in _batches(batch):
                 rows = bpe.encode_texts(texts)
                 if digest:
                     done = [
@@ -332,11 +339,13 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False) -> DataFr
                     cols = list(zip(*done))
                 else:
                     cols = [[np.frombuffer(i, "<u4").astype(np.int32) for i in rows]]
-                arrays = [pa.array(ids, pa.int64()), *(pa.array(c, t) for c, (_, t) in zip(cols, wanted))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(n for n, _ in wanted)])
+                arrays = [part.column(1), *(pa.array(c, t) for c, (_, t) in zip(cols, wanted)), *part.columns[2:]]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(n for n, _ in wanted), *carry])
 
     schema = "doc_id long, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
-    return spread(docs.select(docs["doc_id"].cast("long"), "text")).mapInArrow(run, schema)
+    taken = docs.select(docs["text"].cast("string"), docs["doc_id"].cast("long"), *carry)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return spread(taken).mapInArrow(releasing(run), schema)
 
 
 def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
@@ -352,7 +361,7 @@ def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
             texts = [bpe.decode(i or []) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select(tokens["doc_id"].cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select(tokens["doc_id"].cast("long"), "ids").mapInArrow(releasing(run), "doc_id long, text string")
 
 
 def vocabulary() -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import join_unique, row_key, split_by, spread, text_batches, written
+from .shared import join_unique, release, releasing, row_key, split_by, spread, text_batches, written
 
 MIN_WORDS = 50
 SEED = 42
@@ -124,7 +124,7 @@ def _positions(docs: DataFrame, least: int, part: int = 1 << 22) -> DataFrame:
                     texts, size, start = [], 0, k + 1
 
     schema = "print long, doc_id long, mark long, spans array<struct<content:long,s:int,e:int>>"
-    return spread(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))).mapInArrow(run, schema)
+    return spread(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))).mapInArrow(releasing(run), schema)
 
 
 @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType())]))
@@ -144,6 +144,7 @@ def _without(text: pa.Array, runs: pa.Array) -> pa.Array:
             t = "\n".join([line for line, g in zip(lines, gone) if not g])
         texts.append(t)
         counts.append(n)
+    release()
     return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["text", "n"])
 
 

@@ -3,8 +3,8 @@
 A document is a bag of passages of ``PASSAGE`` words. Each passage is encoded by a small network from
 counts over its bytes and words; gated attention, learnt from document labels alone, weighs the passages;
 the weighted representation gives the document's score. All passages of a batch are encoded together in
-numpy, so scoring is one map over whole texts. Fitting uses a bounded sample: the ``TRAIN_DOCS`` labelled
-documents whose id hashes are smallest, and of each at most ``TRAIN_PASSAGES`` passages, evenly spaced.
+numpy, so scoring is one map over whole texts. Fitting uses a bounded sample of rows: the ``TRAIN_DOCS`` labelled
+documents whose id hashes are smallest, each with all its passages.
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread, text_batches
+from .shared import release, releasing, spread, text_batches
 
 PASSAGE = 64
 TRAIN_DOCS = 4_000
-TRAIN_PASSAGES = 256
 HIDDEN, GATE = 24, 12
 EPOCHS, STEP, SEED = 40, 0.01, 7
 
@@ -195,12 +194,12 @@ def _parts(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[int, in
             part, size, start = [], 0, k + 1
 
 
-def train(docs: DataFrame, labels: DataFrame, docs_most: int = TRAIN_DOCS, passages_most: int = TRAIN_PASSAGES) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, docs_most: int = TRAIN_DOCS) -> Model | None:
     """A model fitted on labelled documents that are not held out; None without usable labels.
 
     Labels that are null are ignored; a document with several takes their mean, rounded up at a half; of
-    documents that repeat an id any may serve. At most ``docs_most`` documents with at most ``passages_most``
-    passages each reach the driver, as features.
+    documents that repeat an id any may serve. At most ``docs_most`` documents reach the driver, as the features of
+    all their passages (72 bytes for every PASSAGE words).
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -217,15 +216,12 @@ def train(docs: DataFrame, labels: DataFrame, docs_most: int = TRAIN_DOCS, passa
         for b in batches:
             for start, end, texts in _parts(b):
                 bag, x = passages(texts)
-                rows = []
-                for k in range(len(texts)):
-                    own = x[bag == k]
-                    if len(own) > passages_most:
-                        own = own[np.linspace(0, len(own) - 1, passages_most).astype(int)]
-                    rows.append(own.astype(np.float32).tobytes())
+                edge = np.searchsorted(bag, np.arange(len(texts) + 1))
+                rows = [x[a:z].astype(np.float32).tobytes() for a, z in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), pa.array(rows)], ["doc_id", "x"])
 
-    bags = {r[0]: np.frombuffer(r[1], np.float32).reshape(-1, FEATURES).astype(np.float64) for r in some.mapInArrow(run, "doc_id long, x binary").collect()}
+    rows = some.mapInArrow(releasing(run), "doc_id long, x binary").collect()
+    bags = {r[0]: np.frombuffer(r[1], np.float32).reshape(-1, FEATURES).astype(np.float64) for r in rows}
     order = sorted(i for i, x in bags.items() if len(x))
     if not order:
         return None
@@ -253,6 +249,7 @@ def classify(docs: DataFrame, model: Model | None, carry: bool = False) -> DataF
                 out.append(_score(part))
                 part, size = [], 0
         out.append(_score(part))
+        release()
         return pa.array(np.concatenate(out))
 
     def _score(texts):

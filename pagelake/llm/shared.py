@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -61,6 +63,27 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, TEXT_ROWS)
 
 
+def release() -> None:
+    """Give memory that a worker has freed back to the system: workers outlive tasks, and what one stage's held would stay beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(run):
+    """A function over Arrow batches that releases memory once its task is over."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on at least as many partitions as there are cores: a single small file is a single task otherwise.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import join_unique, row_key, split_by, spread, text_batches, written
+from .shared import join_unique, releasing, row_key, split_by, spread, text_batches, written
 
 SEED = 42
 LIMIT = 2
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, mark: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "mark"][: len(columns)])
 
     texts = spread(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")))
-    return texts.mapInArrow(run, "doc_id long, fp long" + (f", {mark} long" if mark else ""))
+    return texts.mapInArrow(releasing(run), "doc_id long, fp long" + (f", {mark} long" if mark else ""))
 
 
 # routing
@@ -264,7 +264,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
     routed = _routed(distinct).withColumn("gray", gray_rank(F.col("fp")))
     spread = routed.repartition("path", "key").sortWithinPartitions("path", "key", "gray")
-    return spread.select("path", "key", "fp", "n").mapInArrow(run, "a long, b long, n_a long, n_b long")
+    return spread.select("path", "key", "fp", "n").mapInArrow(releasing(run), "a long, b long, n_a long, n_b long")
 
 
 def _facts(marked: DataFrame) -> DataFrame:
