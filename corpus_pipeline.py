@@ -20,9 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeats of runs of lines; a document left without any word goes."""
-    cut = line_dedup.drop_repeated_runs(docs)
-    left = (F.col("_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    kept = cut.where(left).drop("_removed_lines")
+    count = "_removed_lines"
+    while count in docs.columns:
+        count += "_"
+    cut = line_dedup.drop_repeated_runs(docs, counted=count)
+    kept = cut.where((F.col(count) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
@@ -34,13 +36,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Documents as often as the mix takes them, sorted by training position: the order of the files and of their rows."""
     return mixing.training_order(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded text."""
-    return bpe.encode_documents(docs, bpe.vocabulary(), digest=True)
+    """doc_id, n_tokens and digests of the ids and of the decoded text; sorted by part and row they are in training order."""
+    return bpe.encode_documents(mixing.training_place(docs), bpe.vocabulary(), digest=True, carry=("part", "row"))
 
 
 STAGES = [
