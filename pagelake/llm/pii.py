@@ -171,8 +171,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and spans; see :func:`personal_data` for odd input."""
-    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
+    """doc_id, counts of the base kinds, base_sha256, spans and scores (in the spans' order); see :func:`personal_data` for odd input."""
+    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "scores"]
 
     text_batches(docs.sparkSession)
 
@@ -183,12 +183,13 @@ def digest(docs: DataFrame) -> DataFrame:
                 spans = find(t.as_py())
                 base = [s for s in spans if s.kind in BASE]
                 counts = [sum(s.kind == k for s in base) for k in BASE]
-                rows.append((*counts, hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans)))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+                scores = ",".join([f"{s.score:.2f}" for s in spans])
+                rows.append((*counts, hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans), scores))
+            cols = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.string()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, scores string"
     return spread(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))).mapInArrow(run, schema)
 
 
