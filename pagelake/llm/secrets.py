@@ -9,6 +9,7 @@ but harmless.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -82,13 +83,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], BASE.index(s[0])))
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans as disjoint ones in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a disjoint span in order overlaps [a, b)."""
+    k = bisect.bisect_left(taken, (b,))
+    return k > 0 and taken[k - 1][1] > a
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """All spans, by start, then kind: base ones, and entropy ones that overlap none of them."""
     text = text or ""
     base = base_spans(text)
     if not _LONG.search(text):
         return base
-    more, taken = [], [(a, b) for _, a, b in base]
+    more, taken = [], _joined([(a, b) for _, a, b in base])
     for pattern, least in CLASSES.values():
         for m in pattern.finditer(text):
             bare = m[0].rstrip("=")
@@ -98,9 +116,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             runs = entropy_runs(bare, least * _SHARE, SHORT) if short else entropy_runs(m[0], least)
             for a, b in runs:
                 a, b = a + m.start(), b + m.start()
-                if all(b <= x or a >= y for x, y in taken):
+                if not _overlaps(taken, a, b):
                     more.append(("entropy", a, b))
-                    taken.append((a, b))
+        taken = _joined([*taken, *((a, b) for _, a, b in more)])
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
