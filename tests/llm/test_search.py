@@ -122,16 +122,34 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, chunk):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_embedding_recall_at_the_threshold():
+@pytest.mark.parametrize("d,n", [(64, 50_000), (64, 5_000_000), (64, 100_000_000), (768, 50_000), (768, 100_000_000)])
+def test_embedding_recall_at_the_threshold(d, n):
     rng = np.random.default_rng(1)
-    code = embed_dedup.Code(64, 50_000, 0.9)
-    x, y = rng.standard_normal((600, 64)), rng.standard_normal((600, 64))
+    code = embed_dedup.Code(d, n, 0.9)
+    x, y = rng.standard_normal((200, d)), rng.standard_normal((200, d))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y -= (x * y).sum(1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     z = 0.9 * x + np.sqrt(1 - 0.81) * y
-    met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(code.filters(x), code.filters(z))]
-    assert np.mean(met) >= 0.95
+    (f, at), (g, to) = code.filters(x), code.filters(z)
+    met = [len(np.intersect1d(f[a:b], g[c:e])) > 0 for a, b, c, e in zip(at, at[1:], to, to[1:])]
+    assert np.mean(met) >= 0.9
+
+
+def test_embedding_filters_are_those_above_the_cap():
+    code, rng = embed_dedup.Code(12, 5_000, 0.9), np.random.default_rng(3)
+    x = rng.standard_normal((40, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got, at = code.filters(x)
+    for k in range(len(x)):
+        want = set()
+        for t, (turn, left, right) in enumerate(code.codes):
+            y = x[k] @ turn
+            a, b = left @ (y[:6] / np.linalg.norm(y[:6])), right @ (y[6:] / np.linalg.norm(y[6:]))
+            high = a[:, None] + b[None, :]
+            for i, j in [*zip(*np.nonzero(high >= 2 * code.cap)), divmod(int(high.argmax()), code.words)]:
+                want.add((t * code.words + int(i)) * code.words + int(j))
+        assert got[at[k] : at[k + 1]].tolist() == sorted(want)
 
 
 def test_topk_sql_and_ties(spark, sf_dir, same):
@@ -202,7 +220,7 @@ def test_pipeline(spark, sf_dir):
         sizes.append(docs.count())
     assert sizes[1] < sizes[0] and sizes[2] <= sizes[1] and sizes[3] <= sizes[2]
     got = p.run(spark, sf_dir)
-    assert got.count() == sizes[-1] and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert got.count() == sizes[-1] and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "part", "row"]
 
 
 def test_stages_take_odd_documents(spark, sf_dir, odd_docs, no_docs):
