@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import join_unique, written
+from .shared import drop_written, join_unique, written
 
 THRESHOLD = 0.9
 BUCKET = 96
@@ -367,11 +367,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         member = member.withColumns({"part": zero, "p": zero, "q": zero})
     key = ["f", "d", "p", "q"]
     found = _grouped(member.select(*key, "part", "node", "n", "sketch", "filters"), key, _compare(threshold, kind, False))
-    found = written(found, "links")
-    again = found.where("links is null").select(*key, "part", "node", "n")
+    sure = written(found, "links")
+    again = sure.where("links is null").select(*key, "part", "node", "n")
     exact = again.join(listed.select("node", "data", "filters"), "node").select(*key, "part", "node", "n", "data", "filters")
     checked = written(_grouped(exact, key, _compare(threshold, kind, True)), "links")
-    found = found.where("links is not null").unionByName(checked).select("node", "links", "root")
+    found = sure.where("links is not null").unionByName(checked).select("node", "links", "root")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "_node")
     known = small.join(links, "node", "left").join(roots, F.col("node") == F.col("_node"), "left")
@@ -381,6 +381,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     facts = written(
         named.select("h", "g", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "facts"
     )
+    drop_written(classes, listed, split, sure, checked, known)
     out = join_unique(hashed, facts, ["h", "g"], "n", hashed.count()).select("vec_id", "n_links", "component_id")
     alone = base.where("not _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

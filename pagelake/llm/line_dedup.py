@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import join_unique, release, releasing, row_key, split_by, spread, text_batches, written
+from .shared import drop_written, join_unique, release, releasing, row_key, split_by, spread, text_batches, written
 
 MIN_WORDS = 50
 SEED = 42
@@ -159,7 +159,9 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = written(first.where("first <> last").drop("last"), "first")
     later = join_unique(met, first, ["print", "content"], "n", met.count()).where(place > F.col("first"))
     run = F.shiftleft(F.col("s").cast("long"), 32) + F.col("e")
-    return written(later.groupBy("doc_id", "mark").agg(F.collect_set(run).alias("_runs")), "runs")
+    runs = written(later.groupBy("doc_id", "mark").agg(F.collect_set(run).alias("_runs")), "runs")
+    drop_written(found, met, first)
+    return runs
 
 
 def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, counted: str = "_removed_lines") -> DataFrame:

@@ -44,11 +44,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return back
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove a table made by :func:`written` that no later plan reads."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._pagelake_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`written` that no later plan reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._pagelake_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a batch of whole texts that goes to Python: what a worker and its JVM hold at once.

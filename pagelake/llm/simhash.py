@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import join_unique, releasing, row_key, split_by, spread, text_batches, written
+from .shared import drop_written, join_unique, releasing, row_key, split_by, spread, text_batches, written
 
 SEED = 42
 LIMIT = 2
@@ -282,7 +282,9 @@ def _facts(marked: DataFrame) -> DataFrame:
     names = known.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size"))
     named = join_unique(known, names, ["root"], "size", known.count())
     near = F.col("n") - 1 + F.coalesce("m", F.lit(0))
-    return written(named.select("fp", "n", near.alias("n_near"), "component_id", F.col("root").alias("component")), "facts")
+    facts = written(named.select("fp", "n", near.alias("n_near"), "component_id", F.col("root").alias("component")), "facts")
+    drop_written(distinct, edges, known)
+    return facts
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -308,13 +310,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     filter of fixed size, over the ids and hashes of rows that aren't kept or repeat, lets the others pass where they are.
     """
     marked = written(fingerprints(docs, "mark"), "fingerprints")
-    facts = _facts(marked).select("fp", F.col("n").alias("held"), "component")
-    rooted = join_unique(marked, facts, ["fp"], "held", marked.count())
+    facts = _facts(marked)
+    rooted = join_unique(marked, facts.select("fp", F.col("n").alias("held"), "component"), ["fp"], "held", marked.count())
     rows = written(rooted.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("n")), "rows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     first = rows.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("held"))
     judged = join_unique(rows, first, ["component"], "held", rows.count()).withColumn("stays", place == F.col("first"))
     judged = written(judged.select("doc_id", "mark", "n", "stays"), "judged")
+    drop_written(marked, facts, rows)
 
     moved = judged.where("not stays or n > 1").select(row_key("doc_id", "mark"))
     packed = docs.select(
