@@ -107,6 +107,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
         ),
         "ranges",
     )
+    drop_written(asked)
     while True:
         # the range of a query: [low, low + width); ``above`` scores lie beyond it
         widest = state.agg(F.max("width")).first()[0]
@@ -193,7 +194,7 @@ class _Cell:
 
     def count(self, row):
         if self.counts is None:
-            self.counts = np.zeros((len(self.ids), BINS), np.int64)
+            self.counts = np.zeros((len(self.ids), BINS), np.int32)
         for a, _, s in self.scores(row):
             z = a + len(s)
             inside = (s >= self.low[a:z, None]) & (s < (self.low + self.width)[a:z, None])
@@ -202,13 +203,13 @@ class _Cell:
             self.counts[a:z] += np.bincount(which * BINS + bins, minlength=len(s) * BINS).reshape(len(s), BINS)
 
     def sent(self, k: int):
-        """The histograms as rows, down to the bin at which k are counted."""
-        if self.counts is None or not len(self.ids):
-            return None
-        down = self.counts[:, ::-1].cumsum(axis=1)[:, ::-1]
-        which, bins = np.nonzero((self.counts > 0) & (down - self.counts < k))
-        cols = [self.ids[which], bins, self.counts[which, bins], self.step[which]]
-        return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["query_id", "bin", "n", "step"])
+        """Yields the histograms as rows, down to the bin at which k are counted."""
+        for a in range(0, 0 if self.counts is None else len(self.ids), AT_ONCE):
+            counts = self.counts[a : a + AT_ONCE].astype(np.int64)
+            down = counts[:, ::-1].cumsum(axis=1)[:, ::-1]
+            which, bins = np.nonzero((counts > 0) & (down - counts < k))
+            cols = [self.ids[a + which], bins, counts[which, bins], self.step[a + which]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["query_id", "bin", "n", "step"])
 
 
 def _rows(batches):
@@ -225,11 +226,11 @@ def _histogram(k: int):
                 if cell is not None and at == (row["cell"], row["share"]):
                     cell.count(row)
                 continue
-            if cell is not None and (out := cell.sent(k)) is not None:
-                yield out
+            if cell is not None:
+                yield from cell.sent(k)
             cell, at = _Cell(row), (row["cell"], row["share"])
-        if cell is not None and (out := cell.sent(k)) is not None:
-            yield out
+        if cell is not None:
+            yield from cell.sent(k)
 
     return run
 
