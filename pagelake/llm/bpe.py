@@ -33,7 +33,7 @@ _CHUNKS = regex.compile("[^%s]+" % _SPACE)
 _ODD = regex.compile("[\x1c-\x1f]")  # str.split takes these for white space, the tokenizer doesn't
 SHORT = 64
 #: What each of a worker's caches holds at most, counted as entries of ENTRY bytes; longer words and chunks count by their length.
-CACHE, ENTRY = 80_000, 64
+CACHE, ENTRY = 150_000, 64
 _NONE = 1 << 30
 
 
@@ -91,7 +91,8 @@ def _entries(strings) -> int:
 class Bpe:
     """The tokenizer of one vocabulary file (the JSON of the ``tokenizers`` library)."""
 
-    def __init__(self, spec: str | dict):
+    def __init__(self, spec: str | dict, cache: int | None = None):
+        self.most = CACHE if cache is None else cache
         spec = json.loads(spec) if isinstance(spec, str) else spec
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
@@ -237,7 +238,7 @@ class Bpe:
 
     def learn_chunks(self, chunks: set[str]) -> None:
         """Encode chunks that the cache lacks."""
-        if self.held["words"] > CACHE:
+        if self.held["words"] > self.most:
             self.words, self.held["words"] = {}, 0
         whole, mixed = [], []
         for c in chunks:
@@ -268,7 +269,7 @@ class Bpe:
     def encode_texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian uint32, null as empty."""
         split = [self.split(t or "") for t in texts]
-        if not self.chunks or self.held["chunks"] > CACHE:
+        if not self.chunks or self.held["chunks"] > self.most:
             self.chunks, self.held["chunks"] = {i: struct.pack("<I", i) for i in self.added.values()}, 0
         seen: set = set()
         for s in split:
@@ -302,9 +303,9 @@ def _batches(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[pa.Re
             start, part, size = k + 1, [], 0
 
 
-def encode_documents(docs: DataFrame, path: str, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, digest: bool = False, carry: tuple[str, ...] = (), cache: int = CACHE) -> DataFrame:
     """doc_id and token ids (``ids``, array of int) of every text; with ``digest``, doc_id, n_tokens,
-    ids_sha256 and decoded_sha256 instead; then the columns that ``carry`` names.
+    ids_sha256 and decoded_sha256 instead; then the columns that ``carry`` names. A worker's caches hold ``cache`` entries.
 
     ``path`` names a vocabulary file that the driver reads once and broadcasts (its size is fixed).
     Null and empty texts have no tokens; null ids and repeated rows stay as they are; an empty
@@ -321,7 +322,7 @@ def encode_documents(docs: DataFrame, path: str, digest: bool = False, carry: tu
     )
 
     def run(batches):
-        bpe = Bpe(spec.value)
+        bpe = Bpe(spec.value, cache)
         gc.disable()  # nothing here makes cycles, and collections would scan the caches
         try:
             yield from encoded(bpe, batches)
