@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm import bpe, line_dedup, mixing, quality_mil, simhash
-from pagelake.llm.shared import written
+from pagelake.llm.shared import drop_written, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text; sorted by part and row they are in training order."""
-    return bpe.encode_documents(mixing.training_place(docs), bpe.vocabulary(), digest=True, carry=("part", "row"))
+    # smaller caches than by default: idle workers of earlier stages are still there
+    return bpe.encode_documents(mixing.training_place(docs), bpe.vocabulary(), digest=True, carry=("part", "row"), cache=80_000)
 
 
 STAGES = [
@@ -53,13 +54,16 @@ STAGES = [
     ("BPE encoding", tokens),
 ]
 
-#: The trained classifier can't be expressed in SQL; tests hold each stage against brute force.
+#: The trained classifier can't be expressed in SQL; a test holds run() against a brute-force version of all five stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage")
+        if before is not None:
+            drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
