@@ -10,15 +10,17 @@ from __future__ import annotations
 import re
 import string
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.url_join import _clean, _dots
 from ..operators.dom import _attribute
 from .components import components
-from .shared import written
+from .shared import drop_written, join_unique, written
 
-#: (verdict, host, path); a configuration, at most MOST_RULES long, that becomes one expression.
+#: (verdict, host, path); a configuration.
 RULES = (
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -26,7 +28,8 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-MOST_RULES = 2_000
+#: Up to so many rules are one expression; more are a table that candidates are joined with.
+IN_EXPRESSION = 500
 _TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
 
 
@@ -47,9 +50,7 @@ def path_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """Struct (rule, verdict) of the longest rule that fits; an allow rule goes before a block rule of its length."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0]))
+    ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0], r[1]))
     fits = [
         F.when(
             ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p)),
@@ -60,6 +61,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
+def with_rule(urls: DataFrame, rules=RULES, most: int = IN_EXPRESSION) -> DataFrame:
+    """``urls`` (host, path and more) with ``_rule``, the struct that :func:`rule_of` gives, for any number of rules.
+
+    Beyond ``most`` the distinct (host, path) pairs are expanded to what a rule for them can look like, a suffix of whole labels of the
+    host with a prefix of the path as long as some rule's, and joined with the rules on equality.
+    """
+    if len(rules) <= most:
+        return urls.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    spark = urls.sparkSession
+    table = spark.createDataFrame(list(rules), "verdict string, h string, p string")
+    lengths = sorted({len(p) for _, _, p in rules})
+    distinct = urls.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    heads = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    tried = distinct.withColumn("h", F.explode(suffixes)).withColumn("p", F.explode(heads))
+    # longest first, an allow rule before a block rule of its length, as in rule_of
+    order = F.struct(-F.length(F.concat("h", "p")), "verdict", "h")
+    best = tried.join(table, ["h", "p"]).groupBy("host", "path").agg(
+        F.min_by(F.struct(F.concat("h", "p").alias("rule"), "verdict"), order).alias("_rule")
+    )
+    return urls.join(best, ["host", "path"], "left").select(*urls.columns, "_rule")
+
+
 def _key(url: Column) -> Column:
     """A URL as a node: without its fragment, its host lower-cased."""
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
@@ -100,6 +125,15 @@ def resolved(url: str, hrefs: list[str]) -> list[str]:
     return out
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _resolved(url: pa.Array, hrefs: pa.Array) -> pa.Array:
+    return pa.array([resolved(u.as_py(), h.as_py()) for u, h in zip(url, hrefs)], pa.list_(pa.string()))
+
+
+# so that no optimizer rule evaluates it a second time for the filter that explode implies
+_resolved = _resolved.asNondeterministic()
+
+
 def _targets(url: Column, html: Column) -> Column:
     """Absolute URLs that a page's canonical links and refresh redirects name."""
     tags = F.regexp_extract_all(html, F.lit(_TAGS), F.lit(0))
@@ -109,7 +143,7 @@ def _targets(url: Column, html: Column) -> Column:
         F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
         F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)),
     )
-    return F.coalesce(F.udf(lambda u, h: resolved(u, h), "array<string>").asNondeterministic()(url, hrefs), F.array().cast("array<string>"))
+    return F.coalesce(_resolved(url, hrefs), F.array().cast("array<string>"))
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
@@ -139,19 +173,21 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) ->
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     a, b = nodes.toDF("src", "a"), nodes.toDF("dst", "b")
     roots = components(edges.join(a, "src").join(b, "dst").select("a", "b"))
-    rule = rule_of(host_of(F.col("key")), path_of(F.col("key")), rules)
-    judged = nodes.join(roots, "node").withColumn("_blocks", F.coalesce(rule["verdict"] == "block", F.lit(False)))
-    bad = judged.groupBy("root").agg(F.max("_blocks").alias("_bad")).where("_bad")
-    aliases = judged.join(bad, "root", "left_semi").select(F.col("key").alias("_key"), F.lit(True).alias("_bad"))
-    own = base.select(
-        "page_id", host_of(url).alias("host"), path_of(url).alias("path"),
-        F.when(url.contains("://"), _key(url)).alias("_at"),
-    ).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    judged = nodes.join(roots, "node").withColumn("host", host_of(F.col("key"))).withColumn("path", path_of(F.col("key")))
+    judged = with_rule(judged, rules).withColumn("_blocks", F.coalesce(F.col("_rule.verdict") == "block", F.lit(False)))
+    judged = written(judged.select("key", "root", "_blocks"), "judged")
+    bad = judged.groupBy("root").agg(F.max("_blocks").alias("_bad"), F.count("*").alias("n")).where("_bad")
+    drop_written(edges, nodes)
+    aliases = join_unique(judged, bad, ["root"], "n", judged.count()).select(F.col("key").alias("_key"), "_bad")
+    own = with_rule(base.select("page_id", "_url", host_of(url).alias("host"), path_of(url).alias("path")), rules)
+    # only pages without a rule, and with an address, ask for their component; the others get keys that no alias has and that spread
+    asks = F.col("_rule").isNull() & url.contains("://")
+    spare = F.concat(F.lit("-"), F.pmod(F.xxhash64("page_id"), F.lit(10_000)))
+    own = own.withColumn("_at", F.when(asks, _key(url)).otherwise(spare))
     passed = F.when(F.coalesce("_bad", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return own.join(aliases, own["_at"] == aliases["_key"], "left").select(
-        "page_id", "host", "path", F.col("_rule.rule").alias("rule"),
-        F.coalesce(F.col("_rule.verdict"), passed).alias("verdict"),
-    )
+        "page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", passed).alias("verdict")
+    )
 
 
 def query(spark, sf_dir):
