@@ -433,11 +433,15 @@ def composite_failover(spark, sf_dir):
 
     found, k = _answers(spark, sf_dir), F.col("page_id")
     first = found.where(k % 2 == 0).withColumn("status", F.when(k % 4 == 0, 200).otherwise(403))
-    second = table(spark, sf_dir, "pages").where(k % 5 != 0).select("url", F.lit("<html>ok</html>").alias("html"))
-    tiers = CompositeFetcher([CorpusFetcher(first, html="body", status="status", name="first"), CorpusFetcher(second, name="second")])
-    got, log = tiers.fetch_logged(requests(found))
-    tries = log.groupBy("url").agg(F.count("*").alias("rejected"), F.min_by("refused", "priority").alias("refused"))
-    rows = found.select("page_id", "url").join(got.select("url", "fetcher", "status", "error"), "url").join(tries, "url", "left")
+    second = table(spark, sf_dir, "pages").where(k % 5 != 0).select("page_id", "url", F.lit("<html>ok</html>").alias("html"))
+    # a URL may stand on several pages: each is a request of its own
+    one = ("page_id",)
+    tiers = CompositeFetcher(
+        [CorpusFetcher(first, html="body", status="status", name="first", keys=one), CorpusFetcher(second, name="second", keys=one)]
+    )
+    got, log = tiers.fetch_logged(requests(found, keys=one), one)
+    tries = log.groupBy("page_id").agg(F.count("*").alias("rejected"), F.min_by("refused", "priority").alias("refused"))
+    rows = got.select("page_id", "fetcher", "status", "error").join(tries, "page_id", "left")
     return rows.select("page_id", "refused", "fetcher", "status", "error", F.coalesce("rejected", F.lit(0)).alias("rejected"))
 
 

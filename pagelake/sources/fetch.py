@@ -22,10 +22,11 @@ REQUEST = (
 RESPONSE = "status int, headers map<string,string>, body string, final_url string, error string"
 
 
-def requests(urls: DataFrame, url: str = "url", method: str = "GET", body: Column | None = None) -> DataFrame:
-    """A request per row; other columns go."""
+def requests(urls: DataFrame, url: str = "url", method: str = "GET", body: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A request per row; other columns than ``keys`` go. Keys tell requests for one URL apart."""
     none = F.lit(None)
     return urls.select(
+        *keys,
         F.col(url).alias("url"), F.lit(method).alias("method"), F.create_map().cast("map<string,string>").alias("headers"),
         F.lit(False).alias("allow_revisit"), F.create_map().cast("map<string,string>").alias("context"),
         (body if body is not None else none).cast("binary").alias("body"), F.lit(False).alias("aborted"), F.lit(0).alias("depth"),
@@ -58,18 +59,27 @@ class Fetcher(Protocol):
 
 
 class CorpusFetcher:
-    """Answers from a table of stored pages by an equi-join on the URL; a page that isn't there is an error row."""
+    """Answers from a table of stored pages by an equi-join on the URL; a page that isn't there is an error row.
 
-    def __init__(self, pages: DataFrame, url: str = "url", html: str = "html", status: str | None = None, headers: str | None = None, name: str = "corpus"):
-        self.name = name
+    A store that holds several pages of one URL needs ``keys``: columns of requests and pages that must agree as well.
+    """
+
+    def __init__(
+        self, pages: DataFrame, url: str = "url", html: str = "html", status: str | None = None, headers: str | None = None, name: str = "corpus",
+        keys: tuple[str, ...] = (),
+    ):
+        self.name, self.keys = name, keys
         kind = F.create_map(F.lit("content-type"), F.lit("text/html"))
         self.pages = pages.select(
-            F.col(url).alias("_url"), F.col(html).alias("_body"), (F.col(status) if status else F.lit(200)).cast("int").alias("_status"),
+            *(F.col(k).alias(f"_key_{k}") for k in keys), F.col(url).alias("_url"), F.col(html).alias("_body"), (F.col(status) if status else F.lit(200)).cast("int").alias("_status"),
             (F.col(headers) if headers else kind).alias("_headers"),
         )
 
     def fetch(self, requests: DataFrame) -> DataFrame:
-        found = requests.where(~F.col("aborted")).join(self.pages, F.col("url") == F.col("_url"), "left")
+        same = F.col("url") == F.col("_url")
+        for k in self.keys:
+            same &= F.col(k) == F.col(f"_key_{k}")
+        found = requests.where(~F.col("aborted")).join(self.pages, same, "left")
         missing = F.col("_url").isNull()
         return found.select(
             *requests.columns, F.col("_status").alias("status"), F.col("_headers").alias("response_headers"),
@@ -231,8 +241,8 @@ class CompositeFetcher:
     def attempts(self, requests: DataFrame) -> DataFrame:
         return self.fetch_logged(requests)[1]
 
-    def fetch_logged(self, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(responses, rejected tries: url, fetcher, priority, refused) of one round of sending."""
+    def fetch_logged(self, requests: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+        """(responses, rejected tries: keys, url, fetcher, priority, refused) of one round of sending."""
         nothing = F.lit(None)
         if not self.fetchers:
             out = requests.where(~F.col("aborted")).select(
@@ -240,7 +250,7 @@ class CompositeFetcher:
                 nothing.cast("string").alias("response_body"), nothing.cast("string").alias("final_url"),
                 nothing.cast("string").alias("fetcher"), F.lit("no fetcher configured").alias("error"),
             )
-            return out, out.select("url", "fetcher", nothing.cast("int").alias("priority"), F.col("error").alias("refused")).limit(0)
+            return out, out.select(*keys, "url", "fetcher", nothing.cast("int").alias("priority"), F.col("error").alias("refused")).limit(0)
         out = log = None
         tries = self._tries(requests)
         for k, t in enumerate(tries):
@@ -252,7 +262,7 @@ class CompositeFetcher:
                 for c in ("status", "response_headers", "response_body", "final_url", "fetcher"):
                     kept = kept.withColumn(c, F.when(~failed, F.col(c)))
             kept = kept.drop("priority", "refused")
-            rejected = t.where("refused is not null").select("url", "fetcher", "priority", "refused")
+            rejected = t.where("refused is not null").select(*keys, "url", "fetcher", "priority", "refused")
             out = kept if out is None else out.unionByName(kept)
             log = rejected if log is None else log.unionByName(rejected)
         return out, log

@@ -37,6 +37,20 @@ def test_responses_are_whole_pages(spark, tmp_path):
     assert first[44] == ("second", "bot_challenge") and first[32] == ("first", None) and first[35] == (None, "http: not found")
 
 
+def test_failover_keeps_pages_of_one_url_apart(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, f"http://h/{k % 3}", "<html>" + "px-captcha" * (k % 7 == 0)) for k in range(1, 61)]
+    path = f"{tmp_path}/pages.parquet"
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(path)
+    got = own.QUERIES["composite_failover"](spark, str(tmp_path)).toPandas().astype(object)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = con.execute(own.SQL["composite_failover"]).df().astype(object)
+    rows_of = lambda df: sorted(map(repr, df[sorted(df.columns)].fillna("-").replace({200.0: 200, 403.0: 403}).itertuples(index=False, name=None)))
+    assert len(got) == 60 and rows_of(got) == rows_of(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["page_id", "url", "text", "score", "cluster_size"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
