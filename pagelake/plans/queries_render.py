@@ -10,7 +10,7 @@ from .config import CrawlConfig
 from .crawl import Crawler, Hooks, stats
 from .parse import attributes, children, elements, extract, media_feature, selected_links, texts
 from .config import MediaConfig
-from .registry import cat, escaped, query, spread, table
+from .registry import RENDERED, cat, escaped, query, spread, table
 from .shared import written
 
 c = F.col
@@ -19,7 +19,7 @@ BASE = "http://shop.example/a/b"
 
 def _of(spark, sf_dir, name, html, *keep, base=BASE):
     """Rows of a table with a page each."""
-    return spread(table(spark, sf_dir, name)).select(*keep, html.alias("html"), F.lit(base).alias("url"))
+    return spread(table(spark, sf_dir, name), RENDERED).select(*keep, html.alias("html"), F.lit(base).alias("url"))
 
 
 def _meta(name, value, attr="name"):

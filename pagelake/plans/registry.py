@@ -27,15 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+#: Bytes of a table's files that one task renders and parses: some 200,000 narrow rows.
+RENDERED = 4 << 20
+
+
+def spread(df: DataFrame, most: int | None = None) -> DataFrame:
     """``df`` on at least as many partitions as there are cores: a single small file is a single task otherwise.
 
+    With ``most``, also on one for each so many bytes of its files, for narrow rows that cost far more than their reading.
     A plan that shuffles stays as it is, since counting its partitions would run it.
     """
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    if most is not None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        parts = max(parts, min(-(-size // most), 10_000))
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
