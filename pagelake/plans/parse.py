@@ -164,6 +164,25 @@ def _plain(kind: pa.DataType):
     return None
 
 
+#: Pages of a batch that goes to Python, and bytes of a batch after which a worker gives freed memory back: what it holds doesn't grow with a task.
+PAGE_ROWS, TRIMMED = 500, 1 << 20
+
+
+def page_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold at most PAGE_ROWS rows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= PAGE_ROWS:
+        spark.conf.set(key, PAGE_ROWS)
+
+
+def _trim() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def extract(
     pages: DataFrame, *names: str, html: str = "html", base: str | None = "url", fragment: bool = False, **features: Feature
 ) -> DataFrame:
@@ -173,6 +192,7 @@ def extract(
     nulls; existing columns of a feature's name are replaced.
     """
     wanted = {n: FEATURES[n] for n in names} | features
+    page_batches(pages.sparkSession)
     ddl = "struct<" + ",".join(f"`{n}`:{f.ddl}" for n, f in wanted.items()) + ">"
     spark_type = T._parse_datatype_string(ddl)
     arrow_type = to_arrow_type(spark_type)
@@ -199,7 +219,11 @@ def extract(
                 for text, where in zip(page, url):
                     text = text.as_py()
                     rows.append(None if text is None else record(text, parse_url(where.as_py())))
-            return pa.array(rows, arrow_type)
+            out = pa.array(rows, arrow_type)
+            if page.nbytes > TRIMMED:
+                rows.clear()
+                _trim()
+            return out
         finally:
             if collecting:
                 gc.enable()

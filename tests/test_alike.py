@@ -7,6 +7,7 @@ from pagelake.operators import forms
 from pagelake.operators.alike import Alike
 from pagelake.operators.dom import Document, Node
 from pagelake.plans import queries_render
+from pagelake.plans.parse import PAGE_ROWS, extract
 from pagelake.plans.registry import RENDERED, spread
 
 PARTS = (
@@ -64,7 +65,19 @@ def test_freed_trees_need_no_collector():
         gc.enable()
 
 
-def test_tasks_are_bounded(spark, sf_dir):
+def test_batches_and_tasks_are_bounded(spark, sf_dir):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        pages = spark.range(3).selectExpr("'<form>' AS html", "'http://h/' AS url")
+        extract(pages, "forms")
+        assert int(spark.conf.get(key)) == PAGE_ROWS
+        spark.conf.set(key, "7")
+        extract(pages, "forms")
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, before)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     assert spread(orders, 1 << 10).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
     assert spread(orders, RENDERED).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
